@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamlode.llm import simhash
+from seamlode.llm import packing, simhash, sst, tokens
 from seamlode.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +19,21 @@ def query(f):
     return f
 
 
+@query
+def op2_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to shards and read back."""
+    folder = sst.shard_folder(spark)
+    return sst.scan_shards(sst.write_shards(table(spark, sf_dir, "documents"), folder, tokens.public_vocabulary()))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash class of every document (3-word shingles, 64 bits, radius 2)."""
     found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, lanes=1, radius=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 1024 ids."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokens.public_vocabulary()))
