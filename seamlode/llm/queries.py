@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamlode.llm import packing, simhash, sst, tokens
-from seamlode.llm.common import table
+from seamlode.llm import packing, rules, simhash, sst, tokens, topk
+from seamlode.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,7 +33,36 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best integer inner products of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op5_top_k"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS at, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.at AS q_at, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.at <> c.at
+), r AS (SELECT *, row_number() OVER (PARTITION BY q_at ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 1024 ids."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokens.public_vocabulary()))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = rules.train(docs, table(spark, sf_dir, "labels"), fold=1, folds=3)
+    held = crc_mod(F.col("doc_id"), 3) == 1
+    return rules.score(docs, model, ["doc_id"]).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
