@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamlode.llm import packing, rules, simhash, sst, tokens, topk
+from seamlode.llm import hmm, packing, rules, simhash, sst, tokens, topk
 from seamlode.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(f):
     return f
 
 
+@query
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the hidden Markov model and the unigram base."""
+    return hmm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 @query
 def op2_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to shards and read back."""
