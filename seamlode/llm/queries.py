@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamlode.llm import hmm, packing, rules, simhash, sst, tokens, topk
+from seamlode.llm import hmm, packing, rules, simhash, sst, suffix, tokens, topk
 from seamlode.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 200 bytes."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 1024 ids."""
