@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamlode.llm import hmm, packing, rules, simhash, sst, suffix, tokens, topk
+from seamlode.llm import descriptors, hmm, licenses, packing, piece_dropout, rules, simhash, sst, suffix, tokens, topk
 from seamlode.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def op2_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.scan_shards(sst.write_shards(table(spark, sf_dir, "documents"), folder, tokens.public_vocabulary()))
 
 
+@query
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the images that the vectors of ``embeddings`` draw."""
+    found = descriptors.copies(descriptors.rendered(table(spark, sf_dir, "embeddings")))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash class of every document (3-word shingles, 64 bits, radius 2)."""
@@ -57,6 +64,14 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, placed at <source>/<lang>/<thousands of its id>/<id>.txt."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.detect(docs.select("doc_id", path.alias("path"), "text")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated strings of 200 bytes."""
@@ -78,3 +93,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(docs, model, ["doc_id"]).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge dropout at rate 0.1 and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    found = piece_dropout.encode_documents(docs, tokens.public_vocabulary("piece_bpe_32k.model"), rate=0.1, seed=17, variants=2)
+    return found.withColumnRenamed("id", "doc_id")
