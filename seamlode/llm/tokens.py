@@ -1,9 +1,13 @@
 """Token ids by the tokenizers library, with a bounded cache per worker.
 
-Byte-level BPE never merges across a single space that stands between two
-visible characters, so a text splits there into units whose ids can be joined.
-Each unit is encoded once by the library and its ids are kept in a cache of
-bounded size; a full cache is emptied.
+Byte-level BPE first cuts a text into runs of letters, digits, other signs and
+white space, and merges only inside them. A text is split here at places where
+such a cut always stands: after letters or digits before anything else, and after
+other signs before white space or, unless an apostrophe may open a contraction,
+before letters or digits. Each unit is encoded once by the library, its ids are
+joined with those of its neighbours and kept in a cache of bounded size; a
+full cache is emptied. Words, which follow a single space between other characters,
+have a cache of their own in front of that.
 """
 
 from __future__ import annotations
@@ -14,11 +18,10 @@ import re
 import numpy as np
 
 END_ID = 2
-_CACHE_UNITS = 400_000
+_CACHE_WORDS, _CACHE_UNITS = 900_000, 500_000
 _UNIT_CHARS = 64
-_CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
-_state: dict[str, tuple] = {}
-
+_S, _SIGN = r"[^\S\x1c-\x1f]", r"(?:[^\w\s']|[_\x1c-\x1f])"
+_UNIT = re.compile(rf"{_S}*[^\W_]+|{_S}*{_SIGN}*'(?:{_SIGN}|')*[^\W_]*|{_S}*{_SIGN}+|{_S}+")
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -26,40 +29,71 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
-    if path not in _state:
+class _Encoder:
+    """A vocabulary with its caches: of words (what follows one space), and of units."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state[path] = (Tokenizer.from_file(path), {})
-    return _state[path]
+        self.tok = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their units; new units go to the library in one batch."""
+        split = [_UNIT.findall(t) for t in texts]
+        units, extra = self.units, {}
+        if len(units) > _CACHE_UNITS:
+            units.clear()
+        new = list(set().union(*split).difference(units))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                (units if len(u) <= _UNIT_CHARS else extra)[u] = np.array(e.ids, "<u4").tobytes()
+        get = units.__getitem__ if not extra else (lambda u: units[u] if u in units else extra[u])
+        return [b"".join(map(get, us)) for us in split]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        split = [t.split(" ") for t in texts]
+        held = self.words
+        if len(held) > _CACHE_WORDS:
+            held.clear()
+        new = set().union(*split).difference(held)
+        # beside further white space the cut before a space does not stand
+        edged = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        whole, plain = [], []
+        for i, (t, words) in enumerate(zip(texts, split)):
+            if any(s in t for s in self.special):
+                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            elif edged and not edged.isdisjoint(words):
+                whole.append(i)
+            else:
+                plain.append(i)
+        for i, ids in zip(whole, self._joined([texts[i] for i in whole])):
+            out[i] = ids
+        if len(plain) < len(texts):
+            new &= {w for i in plain for w in split[i]}
+        fresh, extra = list(new), {}
+        for w, ids in zip(fresh, self._joined([" " + w for w in fresh])):
+            (held if len(w) <= _UNIT_CHARS else extra)[w] = ids
+        get = held.__getitem__ if not extra else (lambda w: held[w] if w in held else extra[w])
+        for i, first in zip(plain, self._joined([split[i][0] for i in plain])):
+            out[i] = first + b"".join(map(get, split[i][1:]))
+        return out
 
-def _units(text: str) -> list[str]:
-    """Pieces of the text, each but the first starting with its one space."""
-    found = text.split(" ")
-    if "" not in found and not any(u[0].isspace() or u[-1].isspace() for u in found):
-        return [found[0], *[" " + u for u in found[1:]]]
-    cuts = [m.start() for m in _CUT.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+_encoders: dict[str, _Encoder] = {}
 
 
 def encode(texts: list[str | None], path: str, end: int | None = END_ID) -> list[np.ndarray]:
-    """Ids of each whole text as unsigned 32-bit integers, then the end id."""
-    tok, cache = _tokenizer(path)
-    split = [_units(t) if t else [] for t in texts]
-    if len(cache) > _CACHE_UNITS:
-        cache.clear()
-    extra: dict[str, bytes] = {}
-    missing = list({u for units in split for u in units if u not in cache})
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        for u, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4").tobytes()
-            (cache if len(u) <= _UNIT_CHARS and len(cache) <= 2 * _CACHE_UNITS else extra)[u] = ids
+    """Ids of each whole text as unsigned 32-bit integers, then the end id; null is empty.
+
+    As with the library's own defaults, the text of a special token has the id of that token.
+    """
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
     tail = b"" if end is None else int(end).to_bytes(4, "little")
-    if extra:
-        get = lambda u: cache[u] if u in cache else extra[u]
-    else:
-        get = cache.__getitem__
-    return [np.frombuffer(b"".join(map(get, units)) + tail, "<u4") for units in split]
+    return [np.frombuffer(ids + tail, "<u4") for ids in _encoders[path].encode([t or "" for t in texts])]
