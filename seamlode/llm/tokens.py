@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -22,6 +23,8 @@ _CACHE_WORDS, _CACHE_UNITS = 900_000, 500_000
 _UNIT_CHARS = 64
 _S, _SIGN = r"[^\S\x1c-\x1f]", r"(?:[^\w\s']|[_\x1c-\x1f])"
 _UNIT = re.compile(rf"{_S}*[^\W_]+|{_S}*{_SIGN}*'(?:{_SIGN}|')*[^\W_]*|{_S}*{_SIGN}+|{_S}+")
+_EASY = re.compile(r" ?\S+").fullmatch
+
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -38,20 +41,37 @@ class _Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
+    def _library(self, new: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of units; those without further white space go as lines of one text, which is cheaper."""
+        easy = [u for u in new if _EASY(u)]
+        if self.line is None:
+            easy = []
+        for at in range(0, len(easy), 2048):
+            part = easy[at : at + 2048]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line) * 4
+            raw = ids.tobytes()
+            yield from zip(part, (raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])))
+        hard = [u for u in new if self.line is None or not _EASY(u)]
+        for at in range(0, len(hard), 2048):
+            part = hard[at : at + 2048]
+            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                yield u, np.array(e.ids, "<u4").tobytes()
+
     def _joined(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their units; new units go to the library in one batch."""
         split = [_UNIT.findall(t) for t in texts]
         units, extra = self.units, {}
         if len(units) > _CACHE_UNITS:
             units.clear()
-        new = list(set().union(*split).difference(units))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                (units if len(u) <= _UNIT_CHARS else extra)[u] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*split).difference(units)
+        for u, ids in self._library(new):
+            (units if len(u) <= _UNIT_CHARS else extra)[u] = ids
         get = units.__getitem__ if not extra else (lambda u: units[u] if u in units else extra[u])
         return [b"".join(map(get, us)) for us in split]
 
