@@ -14,16 +14,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 
 END_ID = 2
-_CACHE_WORDS, _CACHE_UNITS = 900_000, 500_000
+_CACHE_WORDS, _CACHE_UNITS = 1_200_000, 900_000
 _UNIT_CHARS = 64
 _S, _SIGN = r"[^\S\x1c-\x1f]", r"(?:[^\w\s']|[_\x1c-\x1f])"
 _UNIT = re.compile(rf"{_S}*[^\W_]+|{_S}*{_SIGN}*'(?:{_SIGN}|')*[^\W_]*|{_S}*{_SIGN}+|{_S}+")
-_EASY = re.compile(r" ?\S+").fullmatch
+_ASCII_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -32,77 +32,86 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Edge(Exception):
+    """A word beside further white space: there the cut before a space does not stand."""
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character for each byte in a byte-level vocabulary: itself if visible, else from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Word -> ids of the word after a space; encoded when first looked up."""
+
+    def __init__(self, encoder: _Encoder):
+        super().__init__()
+        self.encoder, self.letters = encoder, _byte_letters()
+
+    def __missing__(self, w: str) -> bytes:
+        if not w or w[0].isspace() or w[-1].isspace():
+            raise _Edge
+        core, units = w.rstrip(_ASCII_SIGNS), self.encoder.units
+        if core.isalpha() and self.encoder.plain and len(w) <= _UNIT_CHARS:
+            ids = units.get(core)
+            if ids is None:
+                letters = (" " + core).encode().decode("latin-1").translate(self.letters)
+                ids = units[core] = array("I", [t.id for t in self.encoder.model.tokenize(letters)]).tobytes()
+            if len(core) < len(w):
+                ids += self.encoder.text(w[len(core) :])
+        else:
+            ids = self.encoder.text(" " + w)
+            if len(w) > _UNIT_CHARS:
+                return ids
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        self[w] = ids
+        return ids
+
+
 class _Encoder:
-    """A vocabulary with its caches: of words (what follows one space), and of units."""
+    """A vocabulary with its caches: of words, and of units (letters alone stand for those after a space)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _library(self, new: set[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of units; those without further white space go as lines of one text, which is cheaper."""
-        easy = [u for u in new if _EASY(u)]
-        if self.line is None:
-            easy = []
-        for at in range(0, len(easy), 2048):
-            part = easy[at : at + 2048]
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line) * 4
-            raw = ids.tobytes()
-            yield from zip(part, (raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])))
-        hard = [u for u in new if self.line is None or not _EASY(u)]
-        for at in range(0, len(hard), 2048):
-            part = hard[at : at + 2048]
-            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                yield u, np.array(e.ids, "<u4").tobytes()
-
-    def _joined(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts by their units; new units go to the library in one batch."""
-        split = [_UNIT.findall(t) for t in texts]
-        units, extra = self.units, {}
-        if len(units) > _CACHE_UNITS:
+        self.model = self.tok.model
+        self.plain = isinstance(self.model, models.BPE) and isinstance(self.tok.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tok.normalizer is None
+        self.words, self.units = _Words(self), {}
+
+    def library(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def text(self, text: str) -> bytes:
+        """Ids of any text by its units."""
+        out, units = [], self.units
+        if len(units) >= _CACHE_UNITS:
             units.clear()
-        new = set().union(*split).difference(units)
-        for u, ids in self._library(new):
-            (units if len(u) <= _UNIT_CHARS else extra)[u] = ids
-        get = units.__getitem__ if not extra else (lambda u: units[u] if u in units else extra[u])
-        return [b"".join(map(get, us)) for us in split]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        split = [t.split(" ") for t in texts]
-        held = self.words
-        if len(held) > _CACHE_WORDS:
-            held.clear()
-        new = set().union(*split).difference(held)
-        # beside further white space the cut before a space does not stand
-        edged = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        whole, plain = [], []
-        for i, (t, words) in enumerate(zip(texts, split)):
-            if any(s in t for s in self.special):
-                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            elif edged and not edged.isdisjoint(words):
-                whole.append(i)
-            else:
-                plain.append(i)
-        for i, ids in zip(whole, self._joined([texts[i] for i in whole])):
-            out[i] = ids
-        if len(plain) < len(texts):
-            new &= {w for i in plain for w in split[i]}
-        fresh, extra = list(new), {}
-        for w, ids in zip(fresh, self._joined([" " + w for w in fresh])):
-            (held if len(w) <= _UNIT_CHARS else extra)[w] = ids
-        get = held.__getitem__ if not extra else (lambda w: held[w] if w in held else extra[w])
-        for i, first in zip(plain, self._joined([split[i][0] for i in plain])):
-            out[i] = first + b"".join(map(get, split[i][1:]))
-        return out
+        for u in _UNIT.findall(text):
+            key = "\0" + u  # apart from the bare words
+            ids = units.get(key)
+            if ids is None:
+                ids = self.library(u)
+                if len(u) <= _UNIT_CHARS:
+                    units[key] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        if not self.plain or any(s in text for s in self.special):
+            return self.library(text)
+        words = text.split(" ")
+        try:
+            if words[0][-1:].isspace():
+                raise _Edge
+            return self.text(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+        except _Edge:
+            return self.text(text)
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -116,4 +125,4 @@ def encode(texts: list[str | None], path: str, end: int | None = END_ID) -> list
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
     tail = b"" if end is None else int(end).to_bytes(4, "little")
-    return [np.frombuffer(ids + tail, "<u4") for ids in _encoders[path].encode([t or "" for t in texts])]
+    return [np.frombuffer(ids + tail, "<u4") for ids in map(_encoders[path].encode, (t or "" for t in texts))]
