@@ -1,7 +1,7 @@
 """Hidden Markov language model over word tokens.
 
 Emission factors through a class of each word: b_s(w) = phi_s(class(w)) * p(w | class(w)).
-The ``OWN`` most frequent training words have a class each; all others share
+The ``OWN`` most frequent training words have a class each; all other words share
 ``SHARED`` classes by their first and last two bytes; the end of a text is class 0.
 p(w | class) is (c + 1) / (N_class + V_class + 1), so any unseen word has a share.
 The model thus stays proper and its trained part bounded, while word counts cover the
@@ -10,7 +10,7 @@ whole training corpus.
 Steps: words are counted in the tasks and summed by word; each text becomes its
 sequence of classes; Baum-Welch runs over all training sequences, each task giving
 expected counts that are summed by class; the scaled forward recursion gives
-the exact likelihood of every text. Counts of the ``HOT`` most frequent words go
+the exact likelihood of every text. Counts of at most ``HOT`` words, the most frequent, go
 to the tasks; rarer words get theirs by a join.
 
 The start values come from Baum-Welch on at most ``SEED_DOCS`` training texts.
@@ -73,6 +73,21 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def _frequent(counts: DataFrame) -> dict[bytes, int]:
+    """Words of the highest counts, at most HOT: all from a bound on that is read off a histogram."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    histogram = sorted(counts.groupBy(level.alias("b")).count().collect(), reverse=True)  # under 1,100 levels
+    total, least = 0, None
+    for b, n in histogram:
+        total += n
+        if total > HOT:
+            break
+        least = b
+    if least is None:
+        return {}
+    return {bytes(r[0]): r[1] for r in counts.where(level >= least).select("word", "c").collect()}
+
+
 @dataclass
 class Hmm:
     start: np.ndarray  # (K,)
@@ -216,8 +231,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = staged(word_counts(rows.where(~F.col("held_out")).select("text")), "word-counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = {bytes(r[0]): r[1] for r in counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(HOT).collect()}
-    own = {w: 1 + i for i, w in enumerate(list(hot)[:OWN])}
+    hot = _frequent(counts.where(F.col("word") != F.lit(bytearray(END))))
+    own = {w: 1 + i for i, w in enumerate(sorted(hot, key=lambda w: (-hot[w], w))[:OWN])}
     own[END] = 0
     if n_all:
         hot[END] = counts.where(F.col("word") == F.lit(bytearray(END))).first()[1]
