@@ -4,7 +4,7 @@ Shard: data blocks, then block index, Bloom filter and footer.
 
 * Key: 9 bytes that sort like the id: tag 0 for null, or 1 and the id as
   big-endian 64 bits with its sign bit flipped. Null ids come first.
-* Block: zlib over entries and restart points. An entry is the length shared
+* Block: zstd over entries and restart points. An entry is the length shared
   with the previous key, the length of the rest, the length of the value
   (varints), the rest of the key, and the value. Every 16th entry is a restart
   and shares nothing, so a block is searched by bisection of its restarts.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ class ShardWriter:
     def _block(self) -> None:
         if self.entries:
             raw = b"".join(self.entries) + struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
-            data = zlib.compress(raw, 1)
+            data = zstandard.ZstdCompressor(level=1).compress(raw)
             self.index.append((self.last, self.at, len(data)))
             self._put(data)
             self.entries, self.size, self.restarts, self.n = [], 0, [], 0
@@ -161,7 +162,7 @@ class ShardReader:
     def _load(self, k: int) -> tuple[bytes, list[int]]:
         at, size = self.blocks[k]
         self.source.seek(at)
-        raw = zlib.decompress(self.source.read(size))
+        raw = zstandard.ZstdDecompressor().decompress(self.source.read(size))
         (n,) = struct.unpack_from("<I", raw, len(raw) - 4)
         restarts = list(struct.unpack_from(f"<{n}I", raw, len(raw) - 4 - 4 * n))
         return raw[: len(raw) - 4 - 4 * n], restarts
