@@ -3,18 +3,20 @@
 Corners are found at several scales of each image, an orientation is given to
 each by the intensity centroid of its patch, and 256 binary tests, turned by that
 orientation, describe it. Descriptors meet in Hamming tables: each of ``TABLES`` tables
-keys a descriptor by 32 of its bits. Matches of two images vote for a
-turn, a scale and a shift; images agreeing on one in at least ``AGREE`` distinct corners
-are copies, also when cropped, brightened or edited in part.
-
-Images with equal pixels are one row before any table. A table's bucket proposes
-all pairs if it has at most ``ALL_PAIRS`` images; a larger one is dealt again by
-two more keys of 32 other bits each, and what is still larger is chained: each
-image meets its next eight neighbours in the order of whole descriptors.
+keys a descriptor by 128 of its bits. Two images with at least ``AGREE`` matches
+vote for a turn, a scale and a shift; images agreeing on one in as many distinct
+corners are copies, also when cropped, brightened or edited in part.
+
+Images with equal pixels are one row before any table. In a bucket, sorted by the
+whole descriptor, each corner meets the ``NEXT`` before it: all pairs of a bucket
+up to that size; in a larger one images are linked through their neighbours
+in descriptor space, so the work stays linear and classes stay connected.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,9 @@ from seamlode.llm.components import connected_components
 SCALES = (1.0, 0.75, 0.5)
 CORNERS = 24
 PATCH = 7
-BITS, TABLES, KEY_BITS = 256, 8, 32
-ALL_PAIRS, NEXT = 24, 8
-AGREE = 5
+BITS, TABLES, KEY_BYTES = 256, 5, 16
+NEXT = 24
+AGREE = 4
 _TURNS = 16
 
 _rng = np.random.default_rng(20)
@@ -104,83 +106,78 @@ def describe(image: np.ndarray, corners: int = CORNERS) -> list[tuple[float, flo
     return found
 
 
+_CORNER = "struct<corner:int, x:float, y:float, scale:float, turn:int, d:binary>"
+
+
 def described(images: DataFrame) -> DataFrame:
-    """images(image, width, height, pixels) -> (image, corner, x, y, scale, turn, d) of every corner."""
+    """images(id, width, height, pixels) -> (id, same, corners): a digest of the pixels, and every corner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
-        for b in batches:
-            out = []
-            for image, w, h, pixels in zip(*(c.to_pylist() for c in b.columns)):
-                if w and h and pixels is not None and len(pixels) == w * h:
-                    got = describe(np.frombuffer(pixels, np.uint8).reshape(h, w))
-                    out += [(image, k, *row) for k, row in enumerate(got)]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names)
-
-    names = ["image", "corner", "x", "y", "scale", "turn", "d"]
-    return images.select("image", "width", "height", "pixels").mapInArrow(run, "image long, corner int, x double, y double, scale double, turn int, d binary")
+        kind = pa.list_(pa.struct([("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("turn", pa.int32()), ("d", pa.binary())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b, same, corners = whole.slice(at, 256), [], []
+                for w, h, pixels in zip(*(c.to_pylist() for c in b.columns[1:])):
+                    if w and h and w > 0 and pixels is not None and len(pixels) == w * h:
+                        same.append(hashlib.sha256(f"{w}x{h}x".encode() + pixels).hexdigest())
+                        got = describe(np.frombuffer(pixels, np.uint8).reshape(h, w))
+                        corners.append([dict(zip(("corner", "x", "y", "scale", "turn", "d"), (k, *row))) for k, row in enumerate(got)])
+                    else:
+                        same.append(None)
+                        corners.append([])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.string()), pa.array(corners, kind)], ["id", "same", "corners"])
+
+    return images.select("id", "width", "height", "pixels").mapInArrow(run, f"id long, same string, corners array<{_CORNER}>")
 
 
 def _pairs(corners: DataFrame) -> DataFrame:
-    """Matched corners (a, b, ...) of images that share a bucket, a < b."""
-    size = KEY_BITS // 8
-    key = F.array(*(F.struct(F.lit(k).alias("table"), F.substring("d", k * size + 1, size).alias("key"), F.substring("d", (k + 1) % TABLES * size + 1, size).alias("next"), F.substring("d", (k + 2) % TABLES * size + 1, size).alias("after")) for k in range(TABLES)))
-    rows = corners.select("image", "corner", "x", "y", "scale", "turn", "d", F.explode(key).alias("k")).select("*", "k.*").drop("k")
-    crowd = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(crowd, ["table", "key"])
-    crowded = rows.where(F.col("n") > ALL_PAIRS)
-    dealt = rows.where(F.col("n") <= ALL_PAIRS).withColumn("more", F.lit(None).cast("binary")).unionByName(
-        crowded.select(*rows.columns, F.explode(F.array(F.concat(F.lit(b"\1"), "next"), F.concat(F.lit(b"\2"), "after"))).alias("more"))
-    )
-    dealt = dealt.select("table", "key", "more", "d", "image", "corner", "x", "y", "scale", "turn")
-    dealt = dealt.repartition(partitions(corners.sparkSession), "table", "key", "more").sortWithinPartitions("table", "key", "more", "d", "image", "corner")
+    """(a, b, m): matched corners of images that share a bucket, a < b."""
+    step = (BITS // 8 - KEY_BYTES) // (TABLES - 1)
+    keys = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("c.d", k * step + 1, KEY_BYTES)) for k in range(TABLES)))
+    dealt = corners.select("image", "c", F.explode(keys).alias("key")).select("key", "c.d", "image", F.struct("c.corner", "c.x", "c.y", "c.scale", "c.turn").alias("m"))
+    dealt = dealt.repartition(partitions(corners.sparkSession), "key").sortWithinPartitions("key", "d", "image")
+    point = pa.struct([("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("turn", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 6, pa.int32(), pa.int32()]
-        names = ["a", "b", "a_corner", "b_corner", "ax", "ay", "a_scale", "bx", "by", "b_scale", "a_turn", "b_turn"]
-        held, last, out = [], None, []
-
-        def meet(p: tuple, q: tuple) -> None:
-            if p[4] != q[4]:
-                if p[4] > q[4]:
-                    p, q = q, p
-                out.append((p[4], q[4], p[5], q[5], p[6], p[7], p[8], q[6], q[7], q[8], p[9], q[9]))
+        held: deque = deque(maxlen=NEXT)
+        last, out = None, []
 
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 12, types)], names)
+            cols = list(zip(*out)) or [()] * 4
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), point, point))], ["a", "b", "p", "q"])
             out.clear()
             return made
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != last:
-                    last, held = row[:3], []
-                for other in held[-(ALL_PAIRS if row[2] is None else NEXT) :]:
-                    meet(other, row)
-                held.append(row)
-                if len(held) > 2 * ALL_PAIRS:
-                    del held[:-ALL_PAIRS]
+            for key, _, image, m in zip(*(c.to_pylist() for c in b.columns)):
+                if key != last:
+                    last = key
+                    held.clear()
+                for other, n in held:
+                    if other != image:
+                        out.append((other, image, n, m) if other < image else (image, other, m, n))
+                held.append((image, m))
                 if len(out) > 20_000:
                     yield batch()
         yield batch()
 
-    return dealt.mapInArrow(run, "a long, b long, a_corner int, b_corner int, ax double, ay double, a_scale double, bx double, by double, b_scale double, a_turn int, b_turn int")
+    kind = "struct<corner:int, x:float, y:float, scale:float, turn:int>"
+    return dealt.mapInArrow(run, f"a long, b long, p {kind}, q {kind}")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
     """(u, v): pairs of images whose matches agree on a turn, a scale and a shift."""
-    turn = F.pmod(F.col("b_turn") - F.col("a_turn"), F.lit(_TURNS))
+    both = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m")).where(F.size("m") >= AGREE)  # at most CORNERS squared
+    rows = both.select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.p", "m.q")
+    turn = F.pmod(F.col("q.turn") - F.col("p.turn"), F.lit(_TURNS))
     angle = turn * F.lit(2 * np.pi / _TURNS)
-    ratio = F.col("a_scale") / F.col("b_scale")
-    dx = F.col("bx") - ratio * (F.cos(angle) * F.col("ax") - F.sin(angle) * F.col("ay"))
-    dy = F.col("by") - ratio * (F.sin(angle) * F.col("ax") + F.cos(angle) * F.col("ay"))
+    ratio = F.col("p.scale") / F.col("q.scale")
+    dx = F.col("q.x") - ratio * (F.cos(angle) * F.col("p.x") - F.sin(angle) * F.col("p.y"))
+    dy = F.col("q.y") - ratio * (F.sin(angle) * F.col("p.x") + F.cos(angle) * F.col("p.y"))
     near = lambda c: F.array(F.floor(c / 6.0), F.floor(c / 6.0 + 0.5) + F.lit(1 << 20))  # noqa: E731  two grids, half a cell apart
-    votes = pairs.select("a", "b", "a_corner", "b_corner", turn.alias("turn"), F.round(F.log2(ratio) * 4).cast("int").alias("size"), dx.alias("dx"), dy.alias("dy")).distinct()
-    votes = votes.select("a", "b", "a_corner", "b_corner", "turn", "size", F.explode(near(F.col("dx"))).alias("px"), "dy").select("a", "b", "a_corner", "b_corner", "turn", "size", "px", F.explode(near(F.col("dy"))).alias("py"))
-    cells = votes.groupBy("a", "b", "turn", "size", "px", "py").agg(F.count_distinct("a_corner").alias("m"), F.count_distinct("b_corner").alias("n"))
+    votes = rows.select("a", "b", F.col("p.corner").alias("i"), F.col("q.corner").alias("j"), turn.alias("turn"), F.round(F.log2(ratio) * 4).cast("int").alias("size"), dx.alias("dx"), dy.alias("dy"))
+    votes = votes.select("a", "b", "i", "j", "turn", "size", F.explode(near(F.col("dx"))).alias("px"), "dy").select("a", "b", "i", "j", "turn", "size", "px", F.explode(near(F.col("dy"))).alias("py"))
+    cells = votes.groupBy("a", "b", "turn", "size", "px", "py").agg(F.size(F.collect_set("i")).alias("m"), F.size(F.collect_set("j")).alias("n"))
     return cells.where((F.col("m") >= AGREE) & (F.col("n") >= AGREE)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
@@ -188,25 +185,21 @@ def copies(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     """(id, n_corners, n_links, copy_class) of every row of images(id, width, height, pixels).
 
     copy_class is the smallest id of the images that are copies, directly or
-    through others; n_links counts the different images that a row's image is
-    directly a copy of. Rows of no valid pixels (null, or not width * height bytes) have no corners
+    through others; n_links counts the different images that a row's image was
+    directly matched with. Rows of no valid pixels (null, or not width * height bytes) have no corners
     and are linked to nothing, each its own class; rows of equal
     pixels and size are one class, whether or not they have corners.
     """
     rows = images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col("pixels").cast("binary").alias("pixels"))
-    valid = F.col("pixels").isNotNull() & (F.length("pixels") == F.col("width") * F.col("height")) & (F.col("width") > 0)
-    rows = rows.withColumn("same", F.when(F.coalesce(valid, F.lit(False)), F.sha2(F.concat(F.encode(F.concat_ws("x", "width", "height", F.lit("")), "utf-8"), "pixels"), 256)))
-    rows = staged(rows, "images")
-    each = rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.min(F.struct("width", "height", "pixels")).alias("p"))
-    each = staged(each.select("same", "least", F.monotonically_increasing_id().alias("image"), "p.width", "p.height", "p.pixels"), "image-each")
-    corners = staged(described(each), "corners")
-    links = staged(_agreeing(_pairs(corners)), "image-links")
+    rows = staged(described(rows).withColumn("uid", F.monotonically_increasing_id()), "images")
+    each = staged(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.min("uid").alias("image"), F.max(F.size("corners")).alias("n_corners")), "image-each")
+    firsts = rows.join(each.select(F.col("image").alias("uid")), "uid", "left_semi")
+    links = staged(_agreeing(_pairs(firsts.select(F.col("uid").alias("image"), F.explode("corners").alias("c")))), "image-links")
     roots = connected_components(links).withColumnRenamed("node", "image")
     degree = links.select(F.explode(F.array("u", "v")).alias("image")).groupBy("image").agg(F.count("*").alias("n_links"))
-    sizes = corners.groupBy("image").agg(F.count("*").alias("n_corners"))
-    own = each.select("same", "least", "image").join(roots, "image", "left").withColumn("root", F.coalesce("root", "image"))
+    own = each.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image"))
     least = own.groupBy("root").agg(F.min("least").alias("copy_class"))
-    facts = own.join(least, "root").join(sizes, "image", "left").join(degree, "image", "left").select("same", "copy_class", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    facts = own.join(least, "root").join(degree, "image", "left").select("same", "copy_class", "n_corners", "n_links")
     return rows.select("id", "same").join(facts, "same", "left").select("id", F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_class", "id").alias("copy_class"))
 
 
