@@ -7,7 +7,7 @@ and other keys give others; without dropout the result is the model's own.
 
 Spaces become U+2581 and no piece has one after another character, so a text splits
 before each run of them into segments that are encoded apart and kept
-in a cache of bounded size. Characters without a piece, and U+2581 itself, fall back
+in a cache of bounded size for each key. Characters without a piece, and U+2581 itself, fall back
 to byte pieces, so that decoding gives back every text exactly.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,35 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE_SEGMENTS = 600_000
+_CACHE_SEGMENTS = 500_000
 _SEGMENT_CHARS = 64
-_MASK = (1 << 64) - 1
-_NEVER = float("inf")
+_NEVER = 1 << 31
 _models: dict[str, PieceModel] = {}
 
 
-def _draw(own: int, place: int, merged: int) -> int:
-    """32 pseudo-random bits of a candidate merge."""
-    return ((own ^ (place * 0x9E3779B97F4A7C15 + merged * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & _MASK) >> 32
+#: Tabulated pseudo-random numbers; the keyed hash of the segment, the place and the merge's rank choose one.
+_DRAWS = np.random.default_rng(11).integers(0, 1 << 32, 1 << 16).tolist()
+
+
+def _draw(own: int, place: int, merge: int) -> int:
+    """32 pseudo-random bits of a candidate merge, by its place and rank."""
+    return _DRAWS[(own + 769 * place + merge) & 0xFFFF]
+
+
+class _Segments(dict):
+    """What follows a space -> ids of it with the space; encoded when first looked up."""
+
+    def __init__(self, model: PieceModel, key: int, rate: float):
+        super().__init__()
+        self.model, self.key, self.rate = model, key, rate
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.model.segment(SPACE + word, self.key, self.rate)).tobytes()
+        if len(word) < _SEGMENT_CHARS:
+            if len(self) >= _CACHE_SEGMENTS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class PieceModel:
@@ -47,7 +67,7 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.ids: dict[str, int] = {}
-        self.cost: dict[str, float] = {}
+        self.cost: dict[str, int] = {}
         self.bytes_of, self.byte_ids = [b""] * n, [0] * 256
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -55,25 +75,25 @@ class PieceModel:
                 value = int(piece[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.ids[piece], self.cost[piece] = i, -sp.get_score(i)
+                self.ids[piece], self.cost[piece] = i, int(-sp.get_score(i))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
-        self.cache: dict[tuple[int, str], np.ndarray] = {}
+        self._bytes_of_space = np.array([self.byte_ids[x] for x in SPACE.encode()], "<u4").tobytes()
+        self.caches: dict[tuple[int, float], _Segments] = {}
 
     def _short(self, text: str, key: int, bound: int) -> list[str]:
         """The agenda as a list of costs, one a pair; cheaper than a heap for a word."""
-        cost, piece, start = self.cost.get, list(text), list(range(len(text)))
+        cost, draws, piece, start = self.cost.get, _DRAWS, list(text), list(range(len(text)))
         agenda = [cost(a + b, _NEVER) for a, b in zip(text, text[1:])]
-        own = xxhash.xxh64_intdigest(text.encode(), key) if bound else 0
+        own = xxhash.xxh32_intdigest(text.encode(), key) if bound else 0
         while agenda:
             least = min(agenda)
             if least == _NEVER:
                 break
             k = agenda.index(least)
-            both = piece[k] + piece[k + 1]
-            if bound and _draw(own, start[k], self.ids[both]) < bound:
+            if bound and draws[(own + 769 * start[k] + least) & 0xFFFF] < bound:
                 agenda[k] = _NEVER
                 continue
-            piece[k] = both
+            both = piece[k] = piece[k] + piece[k + 1]
             del piece[k + 1], start[k + 1], agenda[k]
             if k < len(agenda):
                 agenda[k] = cost(both + piece[k + 1], _NEVER)
@@ -98,13 +118,13 @@ class PieceModel:
             propose(a, a + 1)
         heapq.heapify(agenda)
         live = True
-        own = xxhash.xxh64_intdigest(text.encode(), key) if bound else 0
+        own = xxhash.xxh32_intdigest(text.encode(), key) if bound else 0
         while agenda:
-            _, a, both = heapq.heappop(agenda)
+            least, a, both = heapq.heappop(agenda)
             b = after[a]
             if not piece[a] or b >= n or piece[a] + piece[b] != both:
                 continue
-            if bound and _draw(own, a, self.ids[both]) < bound:
+            if bound and _draw(own, a, least) < bound:
                 continue
             piece[a], piece[b] = both, ""
             c = after[a] = after[b]
@@ -116,31 +136,29 @@ class PieceModel:
         return [p for p in piece if p]
 
     def segment(self, text: str, key: int, rate: float) -> list[int]:
-        merged = (self._short if len(text) <= _SEGMENT_CHARS else self._long)(text, key, int(rate * (1 << 32)))
-        out: list[int] = []
-        for p in merged:
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else [self.byte_ids[x] for x in p.encode()])
+        bound = int(rate * (1 << 32))
+        merged = (self._short if len(text) <= _SEGMENT_CHARS else self._long)(text, key, bound)
+        out = [*map(self.ids.get, merged)]
+        if None in out:
+            out = [i for p in merged for i in ([self.ids[p]] if p in self.ids else [self.byte_ids[x] for x in p.encode()])]
         return out
 
     def encode(self, text: str, key: int = 0, rate: float = 0.0) -> np.ndarray:
         """Ids of the text; empty text has none."""
         if not text:
             return np.empty(0, "<u4")
-        cache, parts = self.cache, []
+        known = self.caches.setdefault((key, rate), _Segments(self, key, rate))
+        parts = []
         for k, plain in enumerate(text.split(SPACE)):
             if k:
-                parts.append(np.array([self.byte_ids[x] for x in SPACE.encode()], "<u4").tobytes())
+                parts.append(self._bytes_of_space)
+            words = plain.split(" ")
+            if k == 0 and "" not in words:
+                parts.extend(map(known.__getitem__, words))
+                continue
             spaced = (SPACE if k == 0 else "") + plain.replace(" ", SPACE)
             for s in _SEGMENT.findall(spaced):
-                ids = cache.get((key, s))
-                if ids is None:
-                    ids = np.array(self.segment(s, key, rate), "<u4").tobytes()
-                    if len(s) <= _SEGMENT_CHARS:
-                        if len(cache) >= _CACHE_SEGMENTS:
-                            cache.clear()
-                        cache[key, s] = ids
-                parts.append(ids)
+                parts.append(array("I", self.segment(s, key, rate)).tobytes())
         return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids: list[int]) -> str:
