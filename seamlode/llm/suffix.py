@@ -16,14 +16,18 @@ window, so its windows spread over many tasks and equal ones still meet.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from seamlode.llm.common import partitions, staged
@@ -154,7 +158,7 @@ def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uid, squeeze = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=3).compress
+        uid, squeeze = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=9).compress
         types = [pa.int64(), pa.binary(), *(pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -169,10 +173,28 @@ def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _parts(marked: DataFrame) -> DataFrame:
+    """(part, path) of the staged files: rows of a task of ``_marked`` are in one file, named by it."""
+    made = [(int(re.search(r"/part-(\d+)-[^/]*$", f)[1]), f) for f in marked.inputFiles()]
+    return marked.sparkSession.createDataFrame(made, "part long, path string")
+
+
+def _by_part(rows: DataFrame) -> DataFrame:
+    """rows(uid, ...) -> (part, rows): what is known of the rows of each file; no more than the file's own size allows."""
+    return rows.groupBy(F.shiftright("uid", 33).alias("part")).agg(F.collect_list(F.struct("*")).alias("rows"))
+
+
+def _read(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a staged file, from whichever store holds it."""
+    store, place = pafs.FileSystem.from_uri(path)
+    with store.open_input_file(place) as source:
+        yield from pq.ParquetFile(source).iter_batches(512, columns=columns)
+
+
 def _contested(found: DataFrame, width: int) -> DataFrame:
     """(uid, first, starts): runs of repeated window starts in regions that occur once.
 
-    found: uid, z, and ``want``, an array of (mark, crowd, first, starts, once).
+    found: (path, rows): a staged file and of its rows (uid, mark, crowd, first, starts, once).
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +206,19 @@ def _contested(found: DataFrame, width: int) -> DataFrame:
         def batch(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
 
+        def texts_of(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
+            for path, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                wanted: dict[int, list[dict]] = {}
+                for w in known:
+                    wanted.setdefault(w["uid"], []).append(w)
+                for part in _read(path, ["_uid", "_z"]):
+                    for k, uid in enumerate(part.column(0).to_pylist()):
+                        if uid in wanted:
+                            yield uid, part.column(1)[k].as_py(), wanted[uid]
+
         for b in batches:
             rows, held = [], 0
-            for uid, z, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for uid, z, want in texts_of(b):
                 raw = grow(z)
                 for w in want:
                     a, n = w["first"], w["starts"]
@@ -251,10 +283,22 @@ def _contested(found: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(judge, "uid long, first long, starts int")
 
 
-def _merged(first: list[int], starts: list[int], width: int) -> list[tuple[int, int]]:
+def _cell() -> Column:
+    """The word, of 2**20 of 64 bits each, in which a region's bit stands: 16 MB at most to broadcast.
+
+    The bits spare regions that occur once a shuffle; an exact join follows.
+    """
+    return F.shiftright(F.xxhash64("mark", "hash").bitwiseAND(F.lit((1 << 26) - 1)), 6)
+
+
+def _bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64("mark", "hash").bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _merged(windows: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by the windows."""
     out: list[list[int]] = []
-    for a, n in sorted(zip(first, starts)):
+    for a, n in sorted(windows):
         z = a + n - 1 + width
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
@@ -292,30 +336,37 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, te
     different = staged(
         pieces.groupBy("mark", "hash").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first")).alias("place"), F.max("starts").alias("starts"), F.max("twice").alias("twice")), "regions"
     )
-    marks = different.groupBy("mark").agg(F.count("*").alias("crowd"), F.max("twice").alias("again"), F.min("n").alias("least")).where("(crowd > 1 or again) and least = 1")
-    wanted = different.join(marks, "mark").where("crowd > 1 or (twice and n = 1)").select(
-        F.col("place.uid").alias("_uid"), F.struct("mark", "crowd", F.col("place.first").alias("first"), "starts", (F.col("n") == 1).alias("once")).alias("w")
-    )
-    wanted = wanted.groupBy("_uid").agg(F.collect_list("w").alias("want"))
-    contested = _contested(marked.select("_uid", "_z").join(wanted, "_uid").select("_uid", "_z", "want"), width)
-    whole = pieces.join(different.where("n > 1").select("mark", "hash"), ["mark", "hash"], "left_semi").select("uid", "first", "starts")
-    spans = whole.unionByName(contested).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list("first").alias("_first"), F.collect_list("starts").alias("_starts"))
-    joined = marked.select(*[F.col(f"`{c}`") for c in kept], "_uid", "_z").join(spans, "_uid", "left").select(*[F.col(f"`{c}`") for c in kept], "_z", "_first", "_starts")
+    own = Window.partitionBy("mark")
+    crowds = different.select("mark", "n", "place", "starts", "twice", F.count("*").over(own).alias("crowd"))
+    wanted = crowds.where("crowd > 1 or (twice and n = 1)").select("place.uid", "mark", "crowd", "place.first", "starts", (F.col("n") == 1).alias("once"))
+    files = _parts(marked)
+    contested = _contested(files.join(_by_part(wanted), "part").select("path", "rows"), width)
+    often = different.where("n > 1").select("mark", "hash")
+    bits = often.groupBy(_cell().alias("cell")).agg(F.bit_or(_bit()).alias("bits"))
+    likely = pieces.join(F.broadcast(bits), _cell() == F.col("cell")).where(F.col("bits").bitwiseAND(_bit()) != 0).drop("cell", "bits")
+    whole = likely.join(often, ["mark", "hash"], "left_semi").select("uid", "first", "starts")
+    joined = files.join(_by_part(whole.unionByName(contested)), "part", "left").select("path", "rows")
     schema = docs.drop(text_col).schema
     schema = _more(schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor().decompress
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + text]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b, out = whole.slice(at, 512), []
-                for z, first, starts in zip(*(c.to_pylist() for c in b.columns[len(kept) :])):
-                    raw = grow(z)
-                    gone = _merged(first or [], starts or [], width)
-                    ends = [0, *(z for _, z in gone)]
-                    left = b"".join(raw[x:y] for x, y in zip(ends, [*(a for a, _ in gone), len(raw)]))
-                    out.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), *([_kept_text(raw, gone)] * text)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(zip(*out), types))], schema.fieldNames())
+        target = to_arrow_schema(schema)
+        for b in batches:
+            for path, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans: dict[int, list[tuple[int, int]]] = {}
+                for x in known or []:
+                    spans.setdefault(x["uid"], []).append((x["first"], x["starts"]))
+                for part in _read(path, [*kept, "_uid", "_z"]):
+                    out = []
+                    for uid, z in zip(part.column("_uid").to_pylist(), part.column("_z").to_pylist()):
+                        raw = grow(z)
+                        gone = _merged(spans.get(uid, []), width)
+                        ends = [0, *(z for _, z in gone)]
+                        left = b"".join(raw[x:y] for x, y in zip(ends, [*(a for a, _ in gone), len(raw)]))
+                        out.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), *([_kept_text(raw, gone)] * text)))
+                    cols = [*(part.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(zip(*out), types))]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], names=target.names)
 
     return joined.mapInArrow(run, schema)
