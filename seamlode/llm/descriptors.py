@@ -3,14 +3,16 @@
 Corners are found at several scales of each image, an orientation is given to
 each by the intensity centroid of its patch, and 256 binary tests, turned by that
 orientation, describe it. Descriptors meet in Hamming tables: each of ``TABLES`` tables
-keys a descriptor by 128 of its bits. Two images with at least ``AGREE`` matches
+keys a descriptor by 128 of its bits, and corners of one key match if their whole
+descriptors differ in at most ``NEAR`` bits. Two images with at least ``AGREE`` matches
 vote for a turn, a scale and a shift; images agreeing on one in as many distinct
 corners are copies, also when cropped, brightened or edited in part.
 
-Images with equal pixels are one row before any table. In a bucket, sorted by the
-whole descriptor, each corner meets the ``NEXT`` before it: all pairs of a bucket
-up to that size; in a larger one images are linked through their neighbours
-in descriptor space, so the work stays linear and classes stay connected.
+Images with equal pixels are one row before any table. In a bucket, sorted by
+image, each corner meets the ``NEXT`` before it: all pairs of a small bucket; in
+that of a larger group each member meets the same few before it in every table,
+so that the matches of two images add up, the work stays linear in the rows and
+classes stay connected through the chain.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ SCALES = (1.0, 0.75, 0.5)
 CORNERS = 24
 PATCH = 7
 BITS, TABLES, KEY_BYTES = 256, 5, 16
-NEXT = 24
+NEXT = 4
 AGREE = 4
+NEAR = 24
 _TURNS = 16
 
 _rng = np.random.default_rng(20)
@@ -135,7 +138,7 @@ def _pairs(corners: DataFrame) -> DataFrame:
     step = (BITS // 8 - KEY_BYTES) // (TABLES - 1)
     keys = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("c.d", k * step + 1, KEY_BYTES)) for k in range(TABLES)))
     dealt = corners.select("image", "c", F.explode(keys).alias("key")).select("key", "c.d", "image", F.struct("c.corner", "c.x", "c.y", "c.scale", "c.turn").alias("m"))
-    dealt = dealt.repartition(partitions(corners.sparkSession), "key").sortWithinPartitions("key", "d", "image")
+    dealt = dealt.repartition(partitions(corners.sparkSession), "key").sortWithinPartitions("key", "image", "d")
     point = pa.struct([("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("turn", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +152,15 @@ def _pairs(corners: DataFrame) -> DataFrame:
             return made
 
         for b in batches:
-            for key, _, image, m in zip(*(c.to_pylist() for c in b.columns)):
+            for key, d, image, m in zip(*(c.to_pylist() for c in b.columns)):
+                d = int.from_bytes(d, "big")
                 if key != last:
                     last = key
                     held.clear()
-                for other, n in held:
-                    if other != image:
+                for other, n, e in held:
+                    if other != image and (d ^ e).bit_count() <= NEAR:
                         out.append((other, image, n, m) if other < image else (image, other, m, n))
-                held.append((image, m))
+                held.append((image, m, d))
                 if len(out) > 20_000:
                     yield batch()
         yield batch()
@@ -204,7 +208,8 @@ def copies(images: DataFrame, id_col: str = "image_id") -> DataFrame:
 
 
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 64) -> DataFrame:
-    """Vectors as grey images: components on a square grid, scaled to their range and enlarged.
+    """Vectors as grey images: components on a square grid, scaled to their range, mirrored
+    past its edges so that a patch around any corner spans many components, and enlarged.
 
     A null vector, or one of null or non-finite components only, has null pixels; other such
     components count as zero.
@@ -224,7 +229,8 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 grid[: len(a)] = a
                 low, high = grid.min(), grid.max()
                 grid = (grid / 2 - low / 2) / max(high / 2 - low / 2, 1e-300)
-                big = _resized(grid.reshape(cells, cells), side / cells)
+                tiled = np.pad(grid.reshape(cells, cells), cells // 2, mode="symmetric")
+                big = _resized(tiled, side / len(tiled))
                 pixels.append(np.round(big * 255).astype(np.uint8).tobytes())
             n = [None if p is None else int(round(len(p) ** 0.5)) for p in pixels]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(n, pa.int32()), pa.array(pixels, pa.binary())], ["image_id", "width", "height", "pixels"])
