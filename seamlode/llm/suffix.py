@@ -37,8 +37,8 @@ from seamlode.llm.repeats import regions
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
 _PREFIX = 32
 CROWDED = 2_000
-_BUFFER = 4 << 20
-_SORTED = 300_000
+_BUFFER = 1 << 20
+_SORTED = 100_000
 
 _DELTA = np.zeros((PERIOD, PERIOD), np.int64)
 for _i in range(PERIOD):
