@@ -57,7 +57,8 @@ class _Words(dict):
         if core.isalpha() and self.encoder.plain and len(w) <= _UNIT_CHARS:
             ids = units.get(core)
             if ids is None:
-                letters = (" " + core).encode().decode("latin-1").translate(self.letters)
+                # ASCII letters stand for themselves
+                letters = self.letters[32] + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))
                 ids = units[core] = array("I", [t.id for t in self.encoder.model.tokenize(letters)]).tobytes()
             if len(core) < len(w):
                 ids += self.encoder.text(w[len(core) :])
