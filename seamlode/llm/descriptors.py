@@ -8,17 +8,18 @@ descriptors differ in at most ``NEAR`` bits. Two images with at least ``AGREE``
 vote for a turn, a scale and a shift; images agreeing on one in as many distinct
 corners are copies, also when cropped, brightened or edited in part.
 
-Images with equal pixels are one row before any table. In a bucket, sorted by
-image, each corner meets the ``NEXT`` before it: all pairs of a small bucket; in
-that of a larger group each member meets the same few before it in every table,
-so that the matches of two images add up, the work stays linear in the rows and
-classes stay connected through the chain.
+Images with equal pixels are one row before any table. The rest is done twice.
+First, in a bucket sorted by image, each corner meets the ``NEXT`` before it: the
+work is linear in the rows, and most copies of a large group are joined through
+one another. Then every corner meets all those of its bucket whose images are not
+yet in its image's class, so no link between classes is lost, and copies
+already joined aren't paired again. Buckets of more than ``CROWD`` corners are cut
+into parts; each two parts meet in a task of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ CORNERS = 24
 PATCH = 7
 BITS, TABLES, KEY_BYTES = 256, 5, 16
 NEXT = 4
+CROWD = 1024
 AGREE = 4
 NEAR = 24
 _TURNS = 16
@@ -133,16 +135,33 @@ def described(images: DataFrame) -> DataFrame:
     return images.select("id", "width", "height", "pixels").mapInArrow(run, f"id long, same string, corners array<{_CORNER}>")
 
 
-def _pairs(corners: DataFrame) -> DataFrame:
-    """(a, b, m): matched corners of images that share a bucket, a < b."""
-    step = (BITS // 8 - KEY_BYTES) // (TABLES - 1)
-    keys = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("c.d", k * step + 1, KEY_BYTES)) for k in range(TABLES)))
-    dealt = corners.select("image", "c", F.explode(keys).alias("key")).select("key", "c.d", "image", F.struct("c.corner", "c.x", "c.y", "c.scale", "c.turn").alias("m"))
-    dealt = dealt.repartition(partitions(corners.sparkSession), "key").sortWithinPartitions("key", "image", "d")
+_STEP = (BITS // 8 - KEY_BYTES) // (TABLES - 1)
+
+
+def _owner(diff: int) -> int:
+    """The first table in which two descriptors of this difference share a key; it reports their match."""
+    return next(k for k in range(TABLES) if not diff >> (BITS - 8 * (k * _STEP + KEY_BYTES)) & ((1 << 8 * KEY_BYTES) - 1))
+
+
+def _pairs(corners: DataFrame, chained: bool) -> DataFrame:
+    """(a, b, p, q): matched corners of images of different roots that share a bucket, a < b.
+
+    corners: (image, root, c). chained: each corner meets the ``NEXT`` before it in
+    its part of the bucket, else all corners of the bucket.
+    """
+    keys = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("c.d", k * _STEP + 1, KEY_BYTES)) for k in range(TABLES)))
+    keyed = corners.select(F.explode(keys).alias("key"), "c.d", "image", "root", F.struct("c.corner", "c.x", "c.y", "c.scale", "c.turn").alias("m"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    dealt = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("image", "m.corner"), "parts").cast("int"))
+    with_part = F.array("part") if chained else F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = dealt.select("key", "part", F.explode(with_part).alias("other"), "d", "image", "root", "m")
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "d", "image", "root", "m")
+    dealt = dealt.repartition(partitions(corners.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "image", "d")
     point = pa.struct([("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("turn", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: deque = deque(maxlen=NEXT)
+        held: list[tuple] = []
         last, out = None, []
 
         def batch() -> pa.RecordBatch:
@@ -152,15 +171,15 @@ def _pairs(corners: DataFrame) -> DataFrame:
             return made
 
         for b in batches:
-            for key, d, image, m in zip(*(c.to_pylist() for c in b.columns)):
+            for key, low, high, part, d, image, root, m in zip(*(c.to_pylist() for c in b.columns)):
                 d = int.from_bytes(d, "big")
-                if key != last:
-                    last = key
-                    held.clear()
-                for other, n, e in held:
-                    if other != image and (d ^ e).bit_count() <= NEAR:
+                if (key, low, high) != last:
+                    last = key, low, high
+                    held = []
+                for other, r, n, e, own in held[-NEXT:] if chained else held:
+                    if r != root and (low == high or own != part) and (d ^ e).bit_count() <= NEAR and (chained or _owner(d ^ e) == key[0]):
                         out.append((other, image, n, m) if other < image else (image, other, m, n))
-                held.append((image, m, d))
+                held.append((image, root, m, d, part))
                 if len(out) > 20_000:
                     yield batch()
         yield batch()
@@ -186,25 +205,27 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 
 
 def copies(images: DataFrame, id_col: str = "image_id") -> DataFrame:
-    """(id, n_corners, n_links, copy_class) of every row of images(id, width, height, pixels).
+    """(id, n_corners, n_copies, copy_class) of every row of images(id, width, height, pixels).
 
     copy_class is the smallest id of the images that are copies, directly or
-    through others; n_links counts the different images that a row's image was
-    directly matched with. Rows of no valid pixels (null, or not width * height bytes) have no corners
+    through others, and n_copies the number of rows of that class, itself included.
+    Rows of no valid pixels (null, or not width * height bytes) have no corners
     and are linked to nothing, each its own class; rows of equal
     pixels and size are one class, whether or not they have corners.
     """
     rows = images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col("pixels").cast("binary").alias("pixels"))
     rows = staged(described(rows).withColumn("uid", F.monotonically_increasing_id()), "images")
-    each = staged(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.min("uid").alias("image"), F.max(F.size("corners")).alias("n_corners")), "image-each")
-    firsts = rows.join(each.select(F.col("image").alias("uid")), "uid", "left_semi")
-    links = staged(_agreeing(_pairs(firsts.select(F.col("uid").alias("image"), F.explode("corners").alias("c")))), "image-links")
-    roots = connected_components(links).withColumnRenamed("node", "image")
-    degree = links.select(F.explode(F.array("u", "v")).alias("image")).groupBy("image").agg(F.count("*").alias("n_links"))
-    own = each.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image"))
-    least = own.groupBy("root").agg(F.min("least").alias("copy_class"))
-    facts = own.join(least, "root").join(degree, "image", "left").select("same", "copy_class", "n_corners", "n_links")
-    return rows.select("id", "same").join(facts, "same", "left").select("id", F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_class", "id").alias("copy_class"))
+    each = staged(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.min("uid").alias("image"), F.max(F.size("corners")).alias("n_corners"), F.count("*").alias("rows")), "image-each")
+    firsts = rows.join(each.select(F.col("image").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("image"), F.explode("corners").alias("c"))
+    near = staged(_agreeing(_pairs(firsts.withColumn("root", F.col("image")), chained=True)), "image-near")
+    roots = connected_components(near).withColumnRenamed("node", "image")
+    firsts = firsts.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image"))
+    rest = staged(_agreeing(_pairs(firsts, chained=False)), "image-links")
+    roots = connected_components(near.unionByName(rest)).withColumnRenamed("node", "image")
+    own = staged(each.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image")), "image-own")
+    whole = own.groupBy("root").agg(F.min("least").alias("copy_class"), F.sum("rows").alias("n_copies"))
+    facts = own.join(whole, "root").select("same", "copy_class", "n_corners", "n_copies")
+    return rows.select("id", "same").join(facts, "same", "left").select("id", F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("copy_class", "id").alias("copy_class"))
 
 
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 64) -> DataFrame:

@@ -33,6 +33,55 @@ def test_cropped_and_edited_copies(spark):
     assert descriptors.copies(df.limit(0)).count() == 0
 
 
+def _brute_classes(images: dict[int, np.ndarray]) -> dict[int, int]:
+    """Every pair of images against each other, without buckets cut, chained or spared."""
+    found = {i: descriptors.describe(a) for i, a in images.items()}
+    root = {i: i for i in images}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def agree(a, b):
+        cells: dict[tuple, list] = {}
+        for i, (px, py, ps, pt, pd) in enumerate(a):
+            for j, (qx, qy, qs, qt, qd) in enumerate(b):
+                diff = int.from_bytes(pd, "big") ^ int.from_bytes(qd, "big")
+                if diff.bit_count() > descriptors.NEAR or not any(pd[k : k + 16] == qd[k : k + 16] for k in range(0, 17, 4)):
+                    continue
+                turn, ratio = (qt - pt) % 16, ps / qs
+                c, s = np.cos(turn * 2 * np.pi / 16), np.sin(turn * 2 * np.pi / 16)
+                dx, dy = qx - ratio * (c * px - s * py), qy - ratio * (s * px + c * py)
+                for x in (("a", np.floor(dx / 6)), ("b", np.floor(dx / 6 + 0.5))):
+                    for y in (("a", np.floor(dy / 6)), ("b", np.floor(dy / 6 + 0.5))):
+                        cells.setdefault((turn, round(np.log2(ratio) * 4), x, y), []).append((i, j))
+        return any(min(len({i for i, _ in m}), len({j for _, j in m})) >= descriptors.AGREE for m in cells.values())
+
+    for i in images:
+        for j in images:
+            if i < j and top(i) != top(j) and agree(found[i], found[j]):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i in images}
+
+
+def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch):
+    rng, images = np.random.default_rng(5), {}
+    for k in range(45):
+        base = _image(k % 3, 64).astype(float)
+        images[k] = np.clip(base + rng.normal(0, rng.uniform(0, 6), base.shape), 0, 255).astype(np.uint8)
+    rows = [(i, a.shape[1], a.shape[0], bytearray(a.tobytes())) for i, a in images.items()]
+    df = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    want = _brute_classes(images)
+    assert len(set(want.values())) < 20
+    for following, crowd in ((4, 1024), (1, 4)):
+        monkeypatch.setattr(descriptors, "NEXT", following)
+        monkeypatch.setattr(descriptors, "CROWD", crowd)
+        got = descriptors.copies(df).collect()
+        assert {r["id"]: r["copy_class"] for r in got} == want
+        assert {r["id"]: r["n_copies"] for r in got} == {i: list(want.values()).count(c) for i, c in want.items()}
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\n" + "word " * 100),
