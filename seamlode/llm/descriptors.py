@@ -143,21 +143,25 @@ def _owner(diff: int) -> int:
     return next(k for k in range(TABLES) if not diff >> (BITS - 8 * (k * _STEP + KEY_BYTES)) & ((1 << 8 * KEY_BYTES) - 1))
 
 
-def _pairs(corners: DataFrame, chained: bool) -> DataFrame:
+def _shared(corners: DataFrame) -> DataFrame:
+    """(key, d, image, m, parts): corners(image, c) by bucket, without buckets of one corner; parts into which the bucket is cut."""
+    keys = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("c.d", k * _STEP + 1, KEY_BYTES)) for k in range(TABLES)))
+    keyed = corners.select(F.explode(keys).alias("key"), "c.d", "image", F.struct("c.corner", "c.x", "c.y", "c.scale", "c.turn").alias("m"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    return keyed.join(counts, "key")
+
+
+def _pairs(dealt: DataFrame, chained: bool) -> DataFrame:
     """(a, b, p, q): matched corners of images of different roots that share a bucket, a < b.
 
-    corners: (image, root, c). chained: each corner meets the ``NEXT`` before it in
-    its part of the bucket, else all corners of the bucket.
+    dealt: rows of ``_shared`` with the root of their image. chained: each corner meets
+    the ``NEXT`` before it in its part of the bucket, else all corners of the bucket.
     """
-    keys = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("c.d", k * _STEP + 1, KEY_BYTES)) for k in range(TABLES)))
-    keyed = corners.select(F.explode(keys).alias("key"), "c.d", "image", "root", F.struct("c.corner", "c.x", "c.y", "c.scale", "c.turn").alias("m"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
-    dealt = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("image", "m.corner"), "parts").cast("int"))
     with_part = F.array("part") if chained else F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = dealt.select("key", "part", F.explode(with_part).alias("other"), "d", "image", "root", "m")
     dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "d", "image", "root", "m")
-    dealt = dealt.repartition(partitions(corners.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "image", "d")
+    dealt = dealt.repartition(partitions(dealt.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "image", "d")
     point = pa.struct([("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("turn", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +221,11 @@ def copies(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     rows = staged(described(rows).withColumn("uid", F.monotonically_increasing_id()), "images")
     each = staged(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.min("uid").alias("image"), F.max(F.size("corners")).alias("n_corners"), F.count("*").alias("rows")), "image-each")
     firsts = rows.join(each.select(F.col("image").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("image"), F.explode("corners").alias("c"))
-    near = staged(_agreeing(_pairs(firsts.withColumn("root", F.col("image")), chained=True)), "image-near")
+    shared = staged(_shared(firsts), "image-buckets")
+    near = staged(_agreeing(_pairs(shared.withColumn("root", F.col("image")), chained=True)), "image-near")
     roots = connected_components(near).withColumnRenamed("node", "image")
-    firsts = firsts.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image"))
-    rest = staged(_agreeing(_pairs(firsts, chained=False)), "image-links")
+    shared = shared.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image"))
+    rest = staged(_agreeing(_pairs(shared, chained=False)), "image-links")
     roots = connected_components(near.unionByName(rest)).withColumnRenamed("node", "image")
     own = staged(each.join(roots, "image", "left").withColumn("root", F.coalesce("root", "image")), "image-own")
     whole = own.groupBy("root").agg(F.min("least").alias("copy_class"), F.sum("rows").alias("n_copies"))
