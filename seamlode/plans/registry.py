@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seamlode.functions import text
+from seamlode.functions import numeric, text
 from seamlode.operators import evidence, graph, retrieval
 from seamlode.sources.tables import table
 
@@ -437,9 +437,13 @@ def set_operations(spark, d):
 
 @query("SELECT b.item_id, count(*) AS n_documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def gold_containment(spark, d):
-    """Documents that contain a benchmark passage whole; the passages are few and bounded."""
-    items = table(spark, d, "benchmark")
-    found = table(spark, d, "documents").select("text").join(F.broadcast(items.select("item_id", F.col("text").alias("passage")).limit(100_000)), F.contains("text", "passage"))
+    """Documents that contain a benchmark passage whole; passages are broadcast in blocks of about 10,000."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    docs, found = table(spark, d, "documents").select("text"), None
+    for k in range(blocks := max(1, -(-items.count() // 10_000))):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = docs.join(F.broadcast(block), F.contains("text", "passage"))
+        found = part if found is None else found.unionByName(part)
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
@@ -449,5 +453,57 @@ def score_by_category(spark, d):
     return table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"), F.floor(F.sum("toxic") * 10000.0 / F.count("*")).cast("long").alias("share_e4"))
 
 
+# -- values, units, scores, gates ---------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE k WHEN 2 THEN s WHEN 4 THEN s END AS low, CASE k WHEN 0 THEN s + 0.5 WHEN 1 THEN s END AS nominal, CASE k WHEN 2 THEN s + 9 WHEN 3 THEN s END AS high, CASE k WHEN 1 THEN 2.0 END AS deviation
+  FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_partkey % 5 AS k FROM part)""")
+def parsed_values(spark, d):
+    """Values written as numbers with a comma, with a deviation, as reversed ranges and as bounds, parsed."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    written = F.when(k == 0, F.concat(size, F.lit(",5"))).when(k == 1, F.concat(size, F.lit(" ± 2"))).when(k == 2, F.concat((F.col("p_size") + 9).cast("string"), F.lit("–"), size))
+    written = written.when(k == 3, F.concat(F.lit("≤ "), size)).otherwise(F.concat(F.lit("> "), size))
+    return table(spark, d, "part").select("p_partkey", numeric.parse_value(written).alias("v")).select("p_partkey", "v.*")
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_retailprice + 273.15 WHEN 1 THEN p_retailprice * 1000.0 WHEN 2 THEN p_retailprice * 60.0 WHEN 3 THEN p_retailprice * CAST(0.001 AS DOUBLE) ELSE p_retailprice END AS value, CASE p_size % 5 WHEN 0 THEN 'K' WHEN 1 THEN 'MPa' WHEN 2 THEN 's' WHEN 3 THEN 'V' ELSE 'HV' END AS unit FROM part")
+def canonical_units(spark, d):
+    """Prices read as measurements in five units, in canonical units; hardness stays as it is."""
+    unit = F.element_at(F.array(*(F.lit(u) for u in [*numeric.UNITS, "HV"])), F.col("p_size") % 5 + 1)
+    return table(spark, d, "part").select("p_partkey", numeric.canonical(F.col("p_retailprice"), unit).alias("v")).select("p_partkey", "v.*")
+
+
+@query("SELECT l_linenumber, count(*) AS n, count(*) FILTER (WHERE abs(l_extendedprice / l_quantity - p_retailprice) <= greatest(0.5, abs(p_retailprice) * 0.02)) AS n_close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY l_linenumber")
+def tolerance_match(spark, d):
+    """Measured values within tolerance of the expected one."""
+    rows = table(spark, d, "lineitem").where("l_quantity > 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    close = numeric.tolerant(F.col("l_extendedprice") / F.col("l_quantity"), F.col("p_retailprice"))
+    return rows.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count(F.when(close, 1)).alias("n_close"))
+
+
+@query("SELECT d.doc_id, 1.0 - CAST(d.n_chars - s.low AS DOUBLE) / CAST(s.span AS DOUBLE) AS score FROM documents d JOIN (SELECT source, min(n_chars) AS low, nullif(max(n_chars) - min(n_chars), 0) AS span FROM documents GROUP BY source) s USING (source)")
+def min_max_scores(spark, d):
+    """Scores scaled by the range of their source; the range is aggregated before the join."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    span = docs.groupBy("source").agg(F.min("n_chars").alias("low"), F.nullif(F.max("n_chars") - F.min("n_chars"), F.lit(0)).alias("span"))
+    return docs.join(span, "source").select("doc_id", (F.lit(1.0) - (F.col("n_chars") - F.col("low")).cast("double") / F.col("span").cast("double")).alias("score"))
+
+
+_GATE = ["released", "license", "qqzzvvx", "document"]
+
+
+@query("""WITH t AS (SELECT 'released' AS term, max(contains(lower(text), 'released') OR contains(lower(text), 'releas') OR contains(lower(text), 'relea')) AS found FROM documents
+  UNION ALL SELECT 'license', max(contains(lower(text), 'license') OR contains(lower(text), 'licen')) FROM documents UNION ALL SELECT 'qqzzvvx', max(contains(lower(text), 'qqzzvvx') OR contains(lower(text), 'qqzzv')) FROM documents
+  UNION ALL SELECT 'document', max(contains(lower(text), 'document') OR contains(lower(text), 'docume') OR contains(lower(text), 'docum')) FROM documents)
+  SELECT term, coalesce(found, false) AS found, (SELECT count(*) FROM t WHERE NOT coalesce(found, false)) * 2 >= 4 AS gated FROM t""")
+def honesty_gate(spark, d):
+    """Which terms of a question the corpus has in any form, and whether half are absent; one pass over the texts."""
+    docs = table(spark, d, "documents")
+    seen = docs.agg(*(F.coalesce(F.max(numeric.in_any_form(F.col("text"), w)), F.lit(False)).alias(w) for w in _GATE))
+    absent = sum(((~F.col(w)).cast("int") for w in _GATE), F.lit(0))
+    rows = seen.select(F.explode(F.array(*(F.struct(F.lit(w).alias("term"), F.col(w).alias("found")) for w in _GATE))).alias("t"), (absent * 2 >= len(_GATE)).alias("gated"))
+    return rows.select("t.term", "t.found", "gated")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence_profile(spark, sf_dir)
