@@ -56,3 +56,22 @@ def within_budget(df: DataFrame, size: str, order: list, budget: int, key: str)
     """Per key the rows, in order, up to the one that would exceed the budget."""
     run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("used", F.sum(size).over(run)).where(F.col("used") <= budget)
+
+
+def order_statistics(counts: DataFrame, key: str, value: str, n: str, bins: int = 1024) -> DataFrame:
+    """(key, n, median, p95, largest) by index in the ascending order of counts(key, value, n).
+
+    Counts are first summed in bins over each key's range; only the bins in which
+    an index falls are ordered by value, so no task orders a whole key unless one bin holds it.
+    """
+    ends = counts.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("largest"), F.sum(n).alias("total"))
+    ends = ends.withColumn("wanted", F.array(F.floor(F.col("total") / 2), F.floor(F.col("total") * 0.95)))
+    place = F.coalesce(F.floor((F.col(value) - F.col("low")) / F.nullif(F.col("largest") - F.col("low"), F.lit(0.0)) * bins), F.lit(0)).cast("int")
+    dealt = counts.join(ends, key).withColumn("bin", place)
+    before = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(key, "bin", "wanted").agg(F.sum(n).alias("held")).withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    hit = sums.where(F.exists("wanted", lambda w: (w >= F.col("ahead")) & (w < F.col("ahead") + F.col("held")))).select(key, "bin", "ahead")
+    inside = Window.partitionBy(key, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.join(hit, [key, "bin"]).withColumn("upto", F.col("ahead") + F.sum(n).over(inside))
+    at = lambda i: F.min(F.when(F.col("upto") > F.col("wanted")[i], F.col(value)))
+    return rows.groupBy(key).agg(F.first("total").alias("n"), at(0).alias("median"), at(1).alias("p95"), F.first("largest").alias("largest"))

@@ -409,9 +409,8 @@ def daily_cap(spark, d):
 @query("WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, len(v) AS n, v[len(v) // 2 + 1] AS median, v[CAST(floor(0.95 * len(v)) AS BIGINT) + 1] AS p95, v[len(v)] AS largest FROM s")
 def run_aggregation(spark, d):
     """Count, median, 95th percentile by index and largest value of each type."""
-    rows = table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    n = F.size("v")
-    return rows.select("event_type", n.cast("long").alias("n"), F.element_at("v", F.floor(n / 2).cast("int") + 1).alias("median"), F.element_at("v", F.floor(n * 0.95).cast("int") + 1).alias("p95"), F.element_at("v", n).alias("largest"))
+    counts = table(spark, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    return retrieval.order_statistics(counts, "event_type", "value", "n")
 
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id")
