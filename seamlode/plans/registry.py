@@ -455,7 +455,7 @@ def score_by_category(spark, d):
 # -- values, units, scores, gates ---------------------------------------------------------
 
 
-@query("""SELECT p_partkey, CASE k WHEN 2 THEN s WHEN 4 THEN s END AS low, CASE k WHEN 0 THEN s + 0.5 WHEN 1 THEN s END AS nominal, CASE k WHEN 2 THEN s + 9 WHEN 3 THEN s END AS high, CASE k WHEN 1 THEN 2.0 END AS deviation
+@query("""SELECT p_partkey, CASE k WHEN 2 THEN s WHEN 4 THEN s END AS low, CASE k WHEN 0 THEN s + 0.5 WHEN 1 THEN s END AS nominal, CASE k WHEN 2 THEN s + 9 WHEN 3 THEN s END AS high, CASE k WHEN 1 THEN CAST(2 AS DOUBLE) END AS deviation
   FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_partkey % 5 AS k FROM part)""")
 def parsed_values(spark, d):
     """Values written as numbers with a comma, with a deviation, as reversed ranges and as bounds, parsed."""
