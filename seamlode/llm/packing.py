@@ -5,9 +5,11 @@ bitset marks which free spaces occur, so the tightest bin that an item fits is
 the lowest set bit at or above its length. When a bin must be opened and all are
 in use, the fullest one closes first.
 
-Packers run one per partition over pieces dealt by hash, longest first; each
-holds the open bins only. A packer gets about ``PIECES`` pieces, so the few bins
-that end underfull are a vanishing share at any size.
+Packers run one per partition over pieces dealt by hash; each holds the open bins
+only. A packer takes its pieces in hash order, so that long and short ones come
+mixed: longest first, bins of long pieces would close before any short piece came
+to fill them. A packer gets about ``PIECES`` pieces, so the few bins that end
+underfull are a vanishing share at any size.
 """
 
 from __future__ import annotations
@@ -90,7 +92,8 @@ def pack(cut: DataFrame, size: int = 1024, space: int = 1024) -> DataFrame:
     cut = staged(cut, "pieces")
     n = max(1, -(-cut.count() // PIECES))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    dealt = cut.select(*names).repartition(n, *names).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    mixed = F.xxhash64(F.lit("order"), *names)  # not the hash that deals them
+    dealt = cut.select(*names).repartition(n, *names).sortWithinPartitions(mixed, *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

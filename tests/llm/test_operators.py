@@ -74,6 +74,15 @@ def test_packing(spark, docs):
     assert packing.pack(packing.pieces(df.limit(0), VOCAB)).count() == 0
 
 
+def test_packing_of_many_pieces_is_tight(spark):
+    rng = random.Random(8)
+    lengths = [min(64, int(rng.lognormvariate(3.2, 0.7)) + 1) for _ in range(4000)]
+    cut = spark.createDataFrame([(i, 0, 0, x, i) for i, x in enumerate(lengths)], packing._PIECE)
+    got = packing.pack(cut, size=64, space=64).select("doc_id", "length", "sequence_id").collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got) == Counter(enumerate(lengths))
+    assert len({r["sequence_id"] for r in got}) <= sum(lengths) / 64 * 1.08
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
