@@ -240,16 +240,191 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return prints.join(member.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-#: Of 256 bits: the expected distance at a shingle similarity (Jaccard) of 0.8.
-RADIUS_256 = 38
+# -- one of each, by exact similarity ------------------------------------------
 
+#: Of 256 bits. At a Jaccard of 0.8 a bit differs with probability 0.15, 0.19 for the shortest texts.
+RADIUS_256 = 64
+#: A pair whose bits differ with probability ``MISS`` shares a key with probability ``RECALL``.
+MISS, RECALL = 0.17, 0.995
+_SMALL = 32
 
-def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, lanes: int = 4, radius: int = RADIUS_256) -> DataFrame:
+
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct shingles, sorted."""
+    return np.unique(_hashes(text, width, SEED))
+
+
+def key_bits(n: int) -> list[np.ndarray]:
+    """The bits of each key for n fingerprints: more and longer keys as n grows, so that buckets stay small."""
+    size = max(16, (n - 1).bit_length() - 4)
+    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - MISS) ** size)))
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(256, size, replace=False) for _ in range(count)]
+
+
+def _nodes(docs: DataFrame, width: int) -> DataFrame:
+    """docs(uid, text) -> (node, f0..f3): the least uid of each set of shingles, and its 256 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks, fps = [], []
+            for t in b.column(1):
+                h = _shingles(t.as_py(), width)
+                marks.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(b"".join(np.packbits(_majority(h if k == 0 else _mix(h, k))).tobytes() for k in range(4)) if len(h) else bytes(32))
+            f = np.frombuffer(b"".join(fps), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), *(pa.array(f[:, i]) for i in range(4))], ["uid", "mark", *_F])
+
+    found = docs.mapInArrow(run, "uid long, mark binary, " + ", ".join(f"{c} long" for c in _F))
+    return found.groupBy("mark").agg(F.min("uid").alias("node"), *(F.first(c).alias(c) for c in _F)).select("node", *_F)
+
+
+_F = ["f0", "f1", "f2", "f3"]
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed values it would count the magnitude
+
+
+def _forest(f: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links of one bucket; a node reached is not compared again."""
+    left = np.arange(len(f))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            hit = _distance(f[left], f[at]) <= radius
+            for j in left[hit].tolist():
+                yield int(at), j
+                queue.append(j)
+            left = left[~hit]
+
+
+def _apart(f: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """All links of one bucket between different roots."""
+    for i in range(len(f) - 1):
+        for j in np.nonzero((roots[i + 1 :] != roots[i]) & (_distance(f[i + 1 :], f[i]) <= radius))[0].tolist():
+            yield i, i + 1 + j
+
+
+def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFrame:
+    """(u, v), u < v: nodes(node, root, f0..f3) that share a key and are within the radius.
+
+    Where all roots are null a spanning forest of each bucket, else all its pairs of
+    different roots.
+    """
+    place = 1 << np.arange(len(keys[0]), dtype=np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.stack([c.to_numpy() for c in b.columns[2:]], 1)
+            bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(-1, 32), axis=1)
+            for k, at in enumerate(keys):
+                key = (bits[:, at] @ place) | k << 40
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", *b.schema.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(key: np.ndarray, node: np.ndarray, root: np.ndarray, whole: bool, f: np.ndarray) -> pa.RecordBatch:
+            out: list[tuple[int, int]] = []
+            cuts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+            sizes = np.diff(cuts)
+            large = np.repeat(sizes > _SMALL, sizes)
+            for a, z in zip(cuts[:-1][sizes > _SMALL].tolist(), cuts[1:][sizes > _SMALL].tolist()):
+                out += [(a + i, a + j) for i, j in (_apart(f[a:z], root[a:z], radius) if whole else _forest(f[a:z], radius))]
+            found: dict[int, int] = {}
+
+            def top(i: int) -> int:
+                while found.get(i, i) != i:
+                    i = found[i]
+                return i
+
+            for d in range(1, _SMALL):
+                i = np.nonzero((key[d:] == key[:-d]) & ~large[d:])[0]
+                if not len(i):
+                    break
+                i = i[_distance(f[i], f[i + d]) <= radius]
+                for i, j in zip(i.tolist(), (i + d).tolist()):
+                    if whole:
+                        if root[i] != root[j]:
+                            out.append((i, j))
+                    elif (x := top(i)) != (y := top(j)):
+                        found[max(x, y)] = min(x, y)
+                        out.append((i, j))
+            u, v = node[[i for i, _ in out]], node[[j for _, j in out]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            key = b.column(0).to_numpy()
+            if rows < 50_000 or key[0] == key[-1]:
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            held[-1] = b.slice(0, last)
+            yield links(*_columns(held))
+            held, rows = [b.slice(last)], b.num_rows - last
+        if held:
+            yield links(*_columns(held))
+
+    kinds = "node long, root long, " + ", ".join(f"{c} long" for c in _F)
+    rows = nodes.select("node", "root", *_F).mapInArrow(keyed, "key long, " + kinds)
+    dealt = rows.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def _columns(held: list[pa.RecordBatch]) -> tuple:
+    t = pa.Table.from_batches(held)
+    root = t.column("root")
+    f = np.stack([t.column(c).to_numpy() for c in _F], 1)
+    return t.column("key").to_numpy(), t.column("node").to_numpy(), root.fill_null(-1).to_numpy(), root.null_count == 0, f
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs(u, v) whose texts(node, text) have a shingle Jaccard of at least ``least``."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = staged(texts.join(ends, "node"), "simhash-texts")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("p")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("q")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, last, x = [], None, None
+            for u, p, q in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if u != last:
+                    last, x = u, _shingles(p.as_py(), width)
+                y = _shingles(q.as_py(), width)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= least * (len(x) + len(y) - same))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, radius: int = RADIUS_256, least: float = 0.8) -> DataFrame:
     """The rows left when of each near-duplicate class the first stays, all columns kept.
 
+    Linked are texts whose sets of shingles have a Jaccard of at least ``least``, computed
+    exactly for every pair whose 256-bit fingerprints share a key of ``key_bits`` and are within
+    the radius. First each bucket gives a spanning forest; where not all of a forest's texts turn
+    out to be one class, a second pass compares all pairs of its classes.
     Null and empty texts are one class; rows may repeat, ids are not used.
     """
     held = staged(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicate_classes(held, "_uid", text_col, width, lanes, radius)
-    first = found.where("id = component").select(F.col("id").alias("_uid"))
+    texts = held.select(F.col("_uid").alias("uid"), F.col(text_col).cast("string").alias("text"))
+    nodes = staged(_nodes(texts, width), "simhash-nodes")
+    texts = texts.withColumnRenamed("uid", "node")
+    keys = key_bits(nodes.count())
+    pairs = staged(_candidates(nodes.withColumn("root", F.lit(None).cast("long")), keys, radius), "simhash-pairs")
+    near = staged(_alike(pairs, texts, width, least), "simhash-near")
+    roots = connected_components(near)
+    maybe = connected_components(pairs).withColumnRenamed("root", "group")
+    open_ = staged(maybe.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-open")
+    split = open_.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("group")
+    rest = nodes.join(open_.join(split, "group").select("node", "root"), "node")
+    more = staged(_candidates(rest, keys, radius).join(pairs, ["u", "v"], "left_anti"), "simhash-more")
+    roots = connected_components(near.unionByName(_alike(more, texts, width, least)))
+    first = nodes.join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("_uid"))
     return held.join(first, "_uid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
