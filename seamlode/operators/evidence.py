@@ -62,9 +62,9 @@ def contradictions(results: DataFrame, threshold: float) -> DataFrame:
 
 
 def grid_gaps(facts: DataFrame, rows: str, cols: str) -> DataFrame:
-    """Cells of the grid of both dimensions without a fact, with the facts of their row; dimensions are small."""
+    """Cells of the grid of both dimensions without a fact, with the facts of their row."""
     totals = facts.groupBy(rows).agg(F.count("*").alias("weight"))
-    grid = totals.crossJoin(F.broadcast(facts.select(cols).distinct().limit(1000)))
+    grid = totals.crossJoin(facts.select(cols).distinct())
     return grid.join(facts.select(rows, cols).distinct(), [rows, cols], "left_anti")
 
 

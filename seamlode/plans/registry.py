@@ -145,9 +145,9 @@ def gaps_empty_cells(spark, d):
 
 @query(f"SELECT b.family, t.grade, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_brand AS family FROM part) b CROSS JOIN (SELECT DISTINCT p_type AS grade FROM part) t LEFT JOIN (SELECT family, grade, count(*) AS n FROM ({_FACTS}) GROUP BY ALL) f ON f.family = b.family AND f.grade = t.grade")
 def coverage_grid(spark, d):
-    """Results for every family and grade, 0 where there are none; both dimensions are small."""
+    """Results for every family and grade, 0 where there are none."""
     parts = table(spark, d, "part")
-    grid = parts.select(F.col("p_brand").alias("family")).distinct().crossJoin(F.broadcast(parts.select(F.col("p_type").alias("grade")).distinct().limit(1000)))
+    grid = parts.select(F.col("p_brand").alias("family")).distinct().crossJoin(parts.select(F.col("p_type").alias("grade")).distinct())
     return grid.join(facts(spark, d).groupBy("family", "grade").agg(F.count("*").alias("n")), ["family", "grade"], "left").select("family", "grade", F.coalesce("n", F.lit(0)).alias("n"))
 
 

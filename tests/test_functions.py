@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seamlode.functions import text
 from seamlode.operators import evidence, graph, retrieval
+from seamlode.plans import registry
 from seamlode.streaming import windows
 
 
@@ -55,3 +57,15 @@ def test_streaming_windows(spark, tmp_path):
     windows.run_available(windows.tumbling_counts(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     got = sorted((r["window"]["start"].hour, r["event_type"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, "view", 2), (2, "click", 1)]
+
+
+def test_grids_keep_every_column(spark, tmp_path):
+    facts = spark.range(1500).selectExpr("concat('s', id % 2) AS size", "id AS process")
+    assert evidence.grid_gaps(facts, "size", "process").count() == 1500
+    part = spark.range(1500).selectExpr("id AS p_partkey", "concat('t', id) AS p_type", "concat('b', id % 2) AS p_brand")
+    sf = "/root/testdata/sf0.001"
+    for f in os.listdir(sf):
+        if f != "part.parquet":
+            os.symlink(f"{sf}/{f}", tmp_path / f)
+    part.selectExpr("*", "1 AS p_size", "'c' AS p_container", "'m' AS p_mfgr", "'n' AS p_name", "1.0D AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    assert registry.coverage_grid(spark, str(tmp_path)).select("family", "grade").distinct().count() == 3000
