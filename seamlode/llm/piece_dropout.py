@@ -2,12 +2,13 @@
 
 Merges are taken from an agenda by score, then from the left. With dropout a
 candidate popped from the agenda is skipped if a keyed hash of the segment, the position
-and the merged piece falls below the rate, so a key gives one segmentation
-and other keys give others; without dropout the result is the model's own.
+and the merged piece falls below the rate. The key is of the document and the segment's place
+in it, so every use of a word is drawn apart; without dropout the result is the model's own.
 
 Spaces become U+2581 and no piece has one after another character, so a text splits
-before each run of them into segments that are encoded apart and kept
-in a cache of bounded size for each key. Characters without a piece, and U+2581 itself, fall back
+before each run of them into segments that are encoded apart. A cache of bounded size keeps the
+model's own ids of a segment and the draws of its merges: a use in which none of them is
+dropped takes those ids, any other is merged anew. Characters without a piece, and U+2581 itself, fall back
 to byte pieces, so that decoding gives back every text exactly.
 """
 
@@ -43,19 +44,29 @@ def _draw(own: int, place: int, merge: int) -> int:
 
 
 class _Segments(dict):
-    """What follows a space -> ids of it with the space; encoded when first looked up."""
+    """What follows a space -> hash of it with the space, ids without dropout, draws of their merges."""
 
-    def __init__(self, model: PieceModel, key: int, rate: float):
+    def __init__(self, model: PieceModel):
         super().__init__()
-        self.model, self.key, self.rate = model, key, rate
+        self.model = model
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.model.segment(SPACE + word, self.key, self.rate)).tobytes()
+    def __missing__(self, word: str) -> tuple[int, bytes, list[int] | None]:
+        text, merges = SPACE + word, []
+        ids = array("I", self.model.segment(text, 0, 0.0, merges)).tobytes()
+        found = xxhash.xxh32_intdigest(text.encode()), ids, merges if len(text) <= _SEGMENT_CHARS else None
         if len(word) < _SEGMENT_CHARS:
             if len(self) >= _CACHE_SEGMENTS:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
+
+
+def _keys(key: int, n: int) -> list[int]:
+    """Keys of the n segments of a text (splitmix64 finaliser)."""
+    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(key << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z >> np.uint64(32)).tolist()
 
 
 class PieceModel:
@@ -78,13 +89,13 @@ class PieceModel:
                 self.ids[piece], self.cost[piece] = i, int(-sp.get_score(i))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self._bytes_of_space = np.array([self.byte_ids[x] for x in SPACE.encode()], "<u4").tobytes()
-        self.caches: dict[tuple[int, float], _Segments] = {}
+        self.known = _Segments(self)
 
-    def _short(self, text: str, key: int, bound: int) -> list[str]:
+    def _short(self, text: str, key: int, bound: int, merges: list[int] | None = None) -> list[str]:
         """The agenda as a list of costs, one a pair; cheaper than a heap for a word."""
         cost, draws, piece, start = self.cost.get, _DRAWS, list(text), list(range(len(text)))
         agenda = [cost(a + b, _NEVER) for a, b in zip(text, text[1:])]
-        own = xxhash.xxh32_intdigest(text.encode(), key) if bound else 0
+        own = xxhash.xxh32_intdigest(text.encode()) + key if bound else 0
         while agenda:
             least = min(agenda)
             if least == _NEVER:
@@ -93,6 +104,8 @@ class PieceModel:
             if bound and draws[(own + 769 * start[k] + least) & 0xFFFF] < bound:
                 agenda[k] = _NEVER
                 continue
+            if merges is not None:
+                merges.append(769 * start[k] + least)
             both = piece[k] = piece[k] + piece[k + 1]
             del piece[k + 1], start[k + 1], agenda[k]
             if k < len(agenda):
@@ -118,7 +131,7 @@ class PieceModel:
             propose(a, a + 1)
         heapq.heapify(agenda)
         live = True
-        own = xxhash.xxh32_intdigest(text.encode(), key) if bound else 0
+        own = xxhash.xxh32_intdigest(text.encode()) + key if bound else 0
         while agenda:
             least, a, both = heapq.heappop(agenda)
             b = after[a]
@@ -135,9 +148,9 @@ class PieceModel:
                 propose(before[a], a)
         return [p for p in piece if p]
 
-    def segment(self, text: str, key: int, rate: float) -> list[int]:
+    def segment(self, text: str, key: int, rate: float, merges: list[int] | None = None) -> list[int]:
         bound = int(rate * (1 << 32))
-        merged = (self._short if len(text) <= _SEGMENT_CHARS else self._long)(text, key, bound)
+        merged = self._short(text, key, bound, merges) if len(text) <= _SEGMENT_CHARS else self._long(text, key, bound)
         out = [*map(self.ids.get, merged)]
         if None in out:
             out = [i for p in merged for i in ([self.ids[p]] if p in self.ids else [self.byte_ids[x] for x in p.encode()])]
@@ -147,18 +160,30 @@ class PieceModel:
         """Ids of the text; empty text has none."""
         if not text:
             return np.empty(0, "<u4")
-        known = self.caches.setdefault((key, rate), _Segments(self, key, rate))
+        known, draws, bound = self.known, _DRAWS, int(rate * (1 << 32))
+        keys = iter(_keys(key, text.count(" ") + 2 * text.count(SPACE) + 2))
         parts = []
         for k, plain in enumerate(text.split(SPACE)):
             if k:
                 parts.append(self._bytes_of_space)
             words = plain.split(" ")
             if k == 0 and "" not in words:
-                parts.extend(map(known.__getitem__, words))
+                for word, own_key in zip(words, keys):
+                    own, ids, merges = known[word]
+                    if bound:
+                        own += own_key
+                        if merges is None:
+                            ids = array("I", self.segment(SPACE + word, own_key, rate)).tobytes()
+                        else:
+                            for m in merges:
+                                if draws[(own + m) & 0xFFFF] < bound:
+                                    ids = array("I", self.segment(SPACE + word, own_key, rate)).tobytes()
+                                    break
+                    parts.append(ids)
                 continue
             spaced = (SPACE if k == 0 else "") + plain.replace(" ", SPACE)
             for s in _SEGMENT.findall(spaced):
-                parts.append(array("I", self.segment(s, key, rate)).tobytes())
+                parts.append(array("I", self.segment(s, next(keys), rate)).tobytes())
         return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids: list[int]) -> str:
@@ -171,10 +196,10 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_documents(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17, variants: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """(id, n_pieces, ids_crc32, lossless) of every whole text, and with ``ids`` the ids.
 
-    The key of a text is one of ``variants`` by the crc32 of its id, under the seed. A null
+    The key of a text is a hash of its id under the seed. A null
     text is empty and has no pieces; lossless says that decoding gave the text back.
     """
 
@@ -184,13 +209,13 @@ def encode_documents(docs: DataFrame, path: str, rate: float = 0.1, seed: int =
             for at in range(0, b.num_rows, 1024):
                 part, out = b.slice(at, 1024), []
                 for v, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    got = m.encode(t, seed * variants + v, rate)
+                    got = m.encode(t, v, rate)
                     row = (len(got), zlib.crc32(got.tobytes()), m.decode(got.tolist()) == t)
                     out.append((*row, got) if ids else row)
                 types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], names)
 
     names = ["id", "n_pieces", "ids_crc32", "lossless", *(["ids"] * ids)]
-    key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % variants
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("variant"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "id long, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * ids)

@@ -99,5 +99,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with merge dropout at rate 0.1 and decoded again."""
     docs = table(spark, sf_dir, "documents")
-    found = piece_dropout.encode_documents(docs, tokens.public_vocabulary("piece_bpe_32k.model"), rate=0.1, seed=17, variants=2)
+    found = piece_dropout.encode_documents(docs, tokens.public_vocabulary("piece_bpe_32k.model"), rate=0.1, seed=17)
     return found.withColumnRenamed("id", "doc_id")

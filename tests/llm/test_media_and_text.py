@@ -118,3 +118,27 @@ def test_piece_dropout(spark):
     df = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (2, None), (None, "x")], "doc_id long, text string").selectExpr("*", "'v' AS variant")
     got = [(r["id"], r["n_pieces"] > 0, r["lossless"]) for r in piece_dropout.encode_documents(df, path).collect()]
     assert sorted(got, key=str) == sorted([(1, True, True), (1, True, True), (2, False, True), (None, True, True)], key=str)
+
+
+def test_every_use_of_a_word_is_drawn_apart(spark):
+    path = tokens.public_vocabulary("piece_bpe_32k.model")
+    m = piece_dropout.model(path)
+    word, n = "unbelievable", 400
+    plain = m.segment("▁" + word, 0, 0.0)
+    df = spark.createDataFrame([(i, " ".join([word] * n)) for i in range(5)], "doc_id long, text string")
+    cuts = set()
+    for r in piece_dropout.encode_documents(df, path, ids=True).collect():
+        assert r["lossless"]
+        held, uses = [], []
+        for i in r["ids"]:
+            if held and m.bytes_of[i].startswith(b" "):
+                uses.append(tuple(held))
+                held = []
+            held.append(i)
+        uses.append(tuple(held))
+        assert len(uses) == n and 0 < uses.count(tuple(plain)) < n
+        cuts.add(tuple(uses))
+    assert len(cuts) == 5
+    keys = piece_dropout._keys(9, n)
+    each = [x for k in keys for x in m.segment("▁" + word, k, 0.1)]
+    assert m.encode(" ".join([word] * n), 9, 0.1).tolist() == each
