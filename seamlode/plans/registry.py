@@ -272,7 +272,7 @@ _STEPS = "SELECT l_orderkey AS o, l_linenumber AS a, lead(l_linenumber) OVER (PA
 @query(f"""WITH RECURSIVE s AS (SELECT concat(CAST(o AS VARCHAR), '-', CAST(a AS VARCHAR)) AS src, concat(CAST(o AS VARCHAR), '-', CAST(b AS VARCHAR)) AS dst FROM ({_STEPS}) WHERE b IS NOT NULL AND o % 10 = 1),
   l AS (SELECT src AS root, src AS node, 0 AS depth FROM s UNION ALL SELECT l.root, s.dst, l.depth + 1 FROM l JOIN s ON l.node = s.src WHERE l.depth < 11) SELECT root, node, depth FROM l""")
 def lineage(spark, d):
-    """Chains of derived steps, below depth 12."""
+    """Chains of derived steps, below depth 12; of the orders with l_orderkey % 10 = 1 only, as in the SQL."""
     lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber").distinct()
     name = lambda c: F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col(c).cast("string"))
     steps = lines.withColumn("b", F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).where("b is not null").select(name("l_linenumber").alias("src"), name("b").alias("dst"))
