@@ -2,7 +2,8 @@
 
 Each half round groups the edges by a node, takes the smallest neighbour with a
 map-side combined minimum and joins it back, so no neighbour list is ever held
-in one task. Rounds are written to the shared folder.
+in one task; the joins are plain equi-joins, whose large keys Spark splits. Rounds are
+written to the shared folder, in as few files as their rows need.
 """
 
 from __future__ import annotations
@@ -31,18 +32,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """edges(u, v) -> (node, root): root is the smallest node of the component.
 
-    Loops and null ends are ignored; nodes without an edge do not appear.
-    Empty input gives an empty result.
+    rows: about how many edges there are, if known. Loops and null ends are
+    ignored; nodes without an edge do not appear. Empty input gives an empty result.
     """
     now = staged(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows
     )
     mark = _mark(now)
     while mark[0]:
-        after = staged(_small_star(_large_star(now)), "edges")
+        after = staged(_small_star(_large_star(now)), "edges", 2 * mark[0])
         drop_staged(now)
         now, last, mark = after, mark, _mark(after)
         if mark == last:
@@ -50,3 +51,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def extended(roots: DataFrame, links: DataFrame, rows: int | None = None) -> DataFrame:
+    """roots(node, root) once links(u, v) join some of its classes; only the joined classes are looked at again."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    top = connected_components(ends, rows)
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(top.join(roots.select("node"), "node", "left_anti"))
