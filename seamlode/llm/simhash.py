@@ -8,12 +8,12 @@ soon as every distance in it exceeds the radius.
 
 Two bucketings:
 
-* ``exact_keys``: 8 blocks of bits, two left out at a time (28 keys). Any two
-  fingerprints of 64 bits within 2 bits share a key, and a bucket has at most
-  2**16 distinct fingerprints, whatever the size of the corpus.
-* ``band_keys``: 48 choices of 24 bits of a 256-bit fingerprint, for larger radii.
-  At 38 bits of 256, which stand for a shingle similarity of 0.8, a pair shares
-  a key with probability 0.6; at 0.9 with 0.97, and in effect always above.
+* ``exact_keys``, for classes by distance: 8 blocks of bits, two left out at a time (28
+  keys). Any two fingerprints of 64 bits within 2 bits share a key, and a bucket has at
+  most 2**16 distinct fingerprints, whatever the size of the corpus.
+* ``key_bits``, for classes by exact similarity: keys of chosen bits of a 256-bit fingerprint,
+  longer and more of them as the corpus grows, with a stated probability that a
+  pair of the least similarity meets. Candidates are then confirmed by their shingles.
 
 Copies share a fingerprint, so groups of copies are one row before any bucket
 is made, and buckets give a spanning forest of links, not all pairs.
@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamlode.llm.common import partitions, staged
-from seamlode.llm.components import connected_components
+from seamlode.llm.common import numbered, partitions, staged
+from seamlode.llm.components import connected_components, extended
 
 SEED = 42
 _STEP = 1 << 16
@@ -71,20 +71,18 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, width: int = 3, lanes: int = 1, seed: int = SEED) -> bytes:
-    """64 * lanes bits; no words give all zeros."""
+def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> bytes:
+    """64 bits; no words give all zeros."""
     h = _hashes(text, width, seed)
-    if not len(h):
-        return bytes(8 * lanes)
-    return b"".join(np.packbits(_majority(h if k == 0 else _mix(h, k))).tobytes() for k in range(lanes))
+    return np.packbits(_majority(h)).tobytes() if len(h) else bytes(8)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1) -> DataFrame:
-    """(id, fp binary) of every row; null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id, fp binary) of every row; null text is empty, a text of any length is read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py(), width, lanes) for t in b.column(1)]
+            fp = [fingerprint(t.as_py(), width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -111,16 +109,6 @@ def exact_owner(diff: int) -> int:
     return next(k for k, drop in enumerate(_DROPS) if set(blocks) <= set(drop))
 
 
-def band_keys(fp: Column, lanes: int) -> Column:
-    """Keys of three bytes each."""
-    n = 8 * lanes
-    bands = [(k, (k + 1) % n, (k + 3) % n) for k in range(n)] + [(2 * k, (2 * k + 7) % n, (2 * k + 16) % n) for k in range(n // 2)]
-    return F.array(*(
-        F.struct(F.lit(k).alias("k"), F.concat(*(F.substring(fp, i + 1, 1) for i in band)).alias("key"))
-        for k, band in enumerate(bands)
-    ))
-
-
 def sliced(fps: list[int], bits: int) -> list[int]:
     """Bit planes: bit i of plane b is bit b of fingerprint i."""
     raw = np.frombuffer(b"".join(f.to_bytes(bits // 8, "little") for f in fps), np.uint8).reshape(len(fps), -1)
@@ -181,14 +169,11 @@ def bucket_links(fps: list[int], bits: int, radius: int, owner=None) -> Iterator
                     yield fps[i], fps[j]
 
 
-def links(distinct: DataFrame, bits: int, radius: int, exact: bool) -> DataFrame:
-    """distinct(fp) -> edges(u, v) of fingerprints within the radius."""
-    lanes = bits // 64
-    keys = exact_keys(F.col("fp")) if exact else band_keys(F.col("fp"), lanes)
-    n = partitions(distinct.sparkSession)
+def links(distinct: DataFrame) -> DataFrame:
+    """distinct(fp) of 64 bits -> edges(u, v) of fingerprints within 2 bits."""
     dealt = (
-        distinct.select("fp", F.explode(keys).alias("b")).select("b.k", "b.key", "fp")
-        .repartition(n, "k", "key").sortWithinPartitions("k", "key", "fp")
+        distinct.select("fp", F.explode(exact_keys(F.col("fp"))).alias("b")).select("b.k", "b.key", "fp")
+        .repartition(partitions(distinct.sparkSession), "k", "key").sortWithinPartitions("k", "key", "fp")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +184,11 @@ def links(distinct: DataFrame, bits: int, radius: int, exact: bool) -> DataFrame
             if len(held) > 1:
                 k = held_key[0]
                 fps = [int.from_bytes(x, "big") for x in held]
-                out.extend(bucket_links(fps, bits, radius, (lambda d: exact_owner(d) == k) if exact else None))
+                out.extend(bucket_links(fps, 64, 2, lambda d: exact_owner(d) == k))
 
         def batch() -> pa.RecordBatch:
-            ends = [pa.array([x[i].to_bytes(bits // 8, "big") for x in out], pa.binary()) for i in (0, 1)]
+            ends = [pa.array([x[i].to_bytes(8, "big") for x in out], pa.binary()) for i in (0, 1)]
+            out.clear()
             return pa.RecordBatch.from_arrays(ends, ["u", "v"])
 
         for b in batches:
@@ -210,42 +196,41 @@ def links(distinct: DataFrame, bits: int, radius: int, exact: bool) -> DataFrame
                 if (k, key) != held_key:
                     close()
                     held_key, held = (k, key), []
+                    if len(out) > 10_000:
+                        yield batch()
                 held.append(fp)
-            yield batch()
-            out.clear()
         close()
         yield batch()
 
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1, radius: int = 2) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp, component): component is the smallest id whose row can be reached.
 
-    Linked are rows whose fingerprints differ in at most ``radius`` bits. With one
-    lane and radius 2 at most, the candidate search is exact; otherwise links
-    are those between fingerprints that share a key of ``band_keys``.
-    Empty texts have the zero fingerprint and link like any other; rows of
-    null id keep a component if a row of their class has an id, else null.
+    Linked are rows whose fingerprints differ in at most 2 of 64 bits; no link is lost. Empty
+    texts have the zero fingerprint and link like any other; rows of null id keep a component
+    if a row of their class has an id, else null. Rows may repeat and each get a
+    row; other columns are ignored, whatever their names; no rows give no rows.
     """
-    bits = 64 * lanes
-    prints = staged(fingerprints(docs, id_col, text_col, width, lanes), "simhash")
+    prints = staged(fingerprints(docs, id_col, text_col, width), "simhash")
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), bits, radius, exact=lanes == 1 and radius <= 2))
+    n = distinct.count()
+    roots = connected_components(links(distinct.select("fp")), n)
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    member = staged(member, "simhash-member")
+    member = staged(member, "simhash-member", n)
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     return prints.join(member.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 # -- one of each, by exact similarity ------------------------------------------
 
-#: Of 256 bits. At a Jaccard of 0.8 a bit differs with probability 0.15, 0.19 for the shortest texts.
-RADIUS_256 = 64
+#: Of the 128 bits compared. At a Jaccard of 0.8 a bit differs with probability 0.15, 0.19 for the shortest texts.
+RADIUS_128 = 39
 #: A pair whose bits differ with probability ``MISS`` shares a key with probability ``RECALL``.
-MISS, RECALL = 0.17, 0.995
+MISS, RECALL = 0.17, 0.98
 _SMALL = 32
 
 
@@ -256,7 +241,7 @@ def _shingles(text: str | None, width: int) -> np.ndarray:
 
 def key_bits(n: int) -> list[np.ndarray]:
     """The bits of each key for n fingerprints: more and longer keys as n grows, so that buckets stay small."""
-    size = max(16, (n - 1).bit_length() - 4)
+    size = max(10, n.bit_length() - 4)
     count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - MISS) ** size)))
     rng = np.random.default_rng(SEED)
     return [rng.choice(256, size, replace=False) for _ in range(count)]
@@ -280,35 +265,60 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
 
 
 _F = ["f0", "f1", "f2", "f3"]
+_COMPARED = _F[:2]
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed values it would count the magnitude
 
 
+def _planes(f: np.ndarray) -> tuple[list[int], list[int], int]:
+    """Fingerprints of a bucket as integers and as bit planes, and a bit for each."""
+    whole = [int.from_bytes(x.tobytes(), "little") for x in f]
+    return whole, sliced(whole, 128), (1 << len(f)) - 1
+
+
+def _bits(hits: int) -> Iterator[int]:
+    while hits:
+        low = hits & -hits
+        yield low.bit_length() - 1
+        hits ^= low
+
+
 def _forest(f: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links of one bucket; a node reached is not compared again."""
-    left = np.arange(len(f))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+    whole, planes, left = _planes(f)
+    full = left
+    while left:
+        first = (left & -left).bit_length() - 1
+        left ^= 1 << first
+        queue = [first]
+        while queue and left:
             at = queue.pop()
-            hit = _distance(f[left], f[at]) <= radius
-            for j in left[hit].tolist():
-                yield int(at), j
+            hits = within(planes, full, whole[at], radius, range(128)) & left
+            left ^= hits
+            for j in _bits(hits):
+                yield at, j
                 queue.append(j)
-            left = left[~hit]
 
 
 def _apart(f: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """All links of one bucket between different roots."""
-    for i in range(len(f) - 1):
-        for j in np.nonzero((roots[i + 1 :] != roots[i]) & (_distance(f[i + 1 :], f[i]) <= radius))[0].tolist():
-            yield i, i + 1 + j
+    for at in range(0, len(f), _BLOCK):
+        _, planes, full = _planes(f[at : at + _BLOCK])
+        own: dict[int, int] = {}
+        for k, r in enumerate(roots[at : at + _BLOCK].tolist()):
+            own[r] = own.get(r, 0) | 1 << k
+        for i in range(min(len(f), at + _BLOCK)):
+            hits = within(planes, full, int.from_bytes(f[i].tobytes(), "little"), radius, range(128)) & ~own.get(int(roots[i]), 0)
+            if i >= at:
+                hits = hits >> (i - at + 1) << (i - at + 1)
+            for k in _bits(hits):
+                yield i, at + k
 
 
 def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFrame:
-    """(u, v), u < v: nodes(node, root, f0..f3) that share a key and are within the radius.
+    """(u, v, far), u < v: nodes(node, root, f0..f3) that share a key and are within the radius, with their distance.
 
     Where all roots are null a spanning forest of each bucket, else all its pairs of
     different roots.
@@ -320,8 +330,8 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
             f = np.stack([c.to_numpy() for c in b.columns[2:]], 1)
             bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(-1, 32), axis=1)
             for k, at in enumerate(keys):
-                key = (bits[:, at] @ place) | k << 40
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", *b.schema.names])
+                key = (bits[:, at] @ place) * np.int64(len(keys)) + k
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns[:4]], ["key", "node", "root", *_COMPARED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(key: np.ndarray, node: np.ndarray, root: np.ndarray, whole: bool, f: np.ndarray) -> pa.RecordBatch:
@@ -338,7 +348,7 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
                     i = found[i]
                 return i
 
-            for d in range(1, _SMALL):
+            for d in range(1, min(_SMALL, len(key))):
                 i = np.nonzero((key[d:] == key[:-d]) & ~large[d:])[0]
                 if not len(i):
                     break
@@ -350,8 +360,10 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
                     elif (x := top(i)) != (y := top(j)):
                         found[max(x, y)] = min(x, y)
                         out.append((i, j))
-            u, v = node[[i for i, _ in out]], node[[j for _, j in out]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], ["u", "v"])
+            at = np.array(out, int).reshape(-1, 2)
+            u, v = node[at[:, 0]], node[at[:, 1]]
+            far = _distance(f[at[:, 0]], f[at[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64()), pa.array(far, pa.int32())], ["u", "v", "far"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -370,16 +382,16 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
         if held:
             yield links(*_columns(held))
 
-    kinds = "node long, root long, " + ", ".join(f"{c} long" for c in _F)
+    kinds = "node long, root long, " + ", ".join(f"{c} long" for c in _COMPARED)
     rows = nodes.select("node", "root", *_F).mapInArrow(keyed, "key long, " + kinds)
     dealt = rows.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long, far int").distinct()
 
 
 def _columns(held: list[pa.RecordBatch]) -> tuple:
     t = pa.Table.from_batches(held)
     root = t.column("root")
-    f = np.stack([t.column(c).to_numpy() for c in _F], 1)
+    f = np.stack([t.column(c).to_numpy() for c in _COMPARED], 1)
     return t.column("key").to_numpy(), t.column("node").to_numpy(), root.fill_null(-1).to_numpy(), root.null_count == 0, f
 
 
@@ -403,28 +415,48 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Data
     return both.select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, radius: int = RADIUS_256, least: float = 0.8) -> DataFrame:
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of pairs(u, v, far) the nearest of each node."""
+    ends = pairs.select("u", "v", "far").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "far"))
+    best = ends.groupBy("u").agg(F.min(F.struct("far", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs(u, v) whose ends are not in one class of roots(node, root)."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    rows = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return rows.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, radius: int = RADIUS_128, least: float = 0.8) -> DataFrame:
     """The rows left when of each near-duplicate class the first stays, all columns kept.
 
     Linked are texts whose sets of shingles have a Jaccard of at least ``least``, computed
-    exactly for every pair whose 256-bit fingerprints share a key of ``key_bits`` and are within
-    the radius. First each bucket gives a spanning forest; where not all of a forest's texts turn
-    out to be one class, a second pass compares all pairs of its classes.
-    Null and empty texts are one class; rows may repeat, ids are not used.
+    exactly, for pairs whose 256-bit fingerprints share a key of ``key_bits`` and are within
+    the radius in 128 bits. Each bucket gives a spanning forest of candidates. Of these each text's
+    nearest is confirmed first, then all those between classes found so far; where not all
+    texts of a candidate group are one class then, a second search compares all pairs of its classes.
+    Null and empty texts are one class; texts of any length are compared whole; rows may
+    repeat; ids are not used, so they may be null; columns may have any names; no rows give no rows.
     """
-    held = staged(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    texts = held.select(F.col("_uid").alias("uid"), F.col(text_col).cast("string").alias("text"))
-    nodes = staged(_nodes(texts, width), "simhash-nodes")
-    texts = texts.withColumnRenamed("uid", "node")
-    keys = key_bits(nodes.count())
-    pairs = staged(_candidates(nodes.withColumn("root", F.lit(None).cast("long")), keys, radius), "simhash-pairs")
-    near = staged(_alike(pairs, texts, width, least), "simhash-near")
-    roots = connected_components(near)
-    maybe = connected_components(pairs).withColumnRenamed("root", "group")
-    open_ = staged(maybe.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-open")
+    names, at = docs.columns, docs.columns.index(text_col)
+    held = staged(numbered(docs).withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    texts = held.select(F.col("uid").alias("node"), F.col(f"c{at}").cast("string").alias("text"))
+    nodes = staged(_nodes(texts.withColumnRenamed("node", "uid"), width), "simhash-nodes")
+    n = nodes.count()
+    keys = key_bits(n)
+    pairs = staged(_candidates(nodes.withColumn("root", F.lit(None).cast("long")), keys, radius), "simhash-pairs", 4 * n)
+    tried = staged(_likeliest(pairs), "simhash-tried", n)
+    near = staged(_alike(tried, texts, width, least), "simhash-near", n)
+    roots = connected_components(near, n)
+    others = _between(pairs.join(tried, ["u", "v"], "left_anti"), roots)
+    roots = extended(roots, staged(_alike(others, texts, width, least), "simhash-near", n), n)
+    maybe = connected_components(pairs, n).withColumnRenamed("root", "group")
+    open_ = staged(maybe.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-open", n)
     split = open_.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("group")
     rest = nodes.join(open_.join(split, "group").select("node", "root"), "node")
-    more = staged(_candidates(rest, keys, radius).join(pairs, ["u", "v"], "left_anti"), "simhash-more")
-    roots = connected_components(near.unionByName(_alike(more, texts, width, least)))
-    first = nodes.join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("_uid"))
-    return held.join(first, "_uid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    more = staged(_candidates(rest, keys, radius).join(pairs, ["u", "v"], "left_anti"), "simhash-more", 4 * n)
+    roots = extended(roots, staged(_alike(more, texts, width, least), "simhash-near", n), n)
+    first = nodes.join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("uid"))
+    return held.join(first, "uid", "left_semi").select(*(f"c{k}" for k in range(len(names)))).toDF(*names)
