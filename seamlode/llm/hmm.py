@@ -13,7 +13,10 @@ expected counts that are summed by class; the scaled forward recursion gives
 the exact likelihood of every text. Counts of at most ``HOT`` words, the most frequent, go
 to the tasks; rarer words get theirs by a join.
 
-The start values come from Baum-Welch on at most ``SEED_DOCS`` training texts.
+The start values come from all training texts as well: texts are dealt to the states by the signs
+of random projections of their class shares, and then, ``DEALS`` times, to the state whose
+shares make them likeliest. All sums run over the whole corpus, so results do not depend on how
+the table is cut into files.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ END = b""
 OWN, SHARED = 3071, 1024
 CLASSES = 1 + OWN + SHARED
 HOT = 200_000
-SEED_DOCS = 400
+DEALS = 3
 _HELD = 400_000
+_WORD_BYTES = 256
 _BATCH_TOKENS = 400_000
 
 
@@ -74,7 +78,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame) -> dict[bytes, int]:
-    """Words of the highest counts, at most HOT: all from a bound on that is read off a histogram."""
+    """Words of the highest counts, at most HOT and none of over _WORD_BYTES: all from a bound on that is read off a histogram."""
+    counts = counts.where(F.length("word") <= _WORD_BYTES)
     level = F.floor(F.log2("c") * 16).cast("int")
     histogram = sorted(counts.groupBy(level.alias("b")).count().collect(), reverse=True)  # under 1,100 levels
     total, least = 0, None
@@ -129,7 +134,7 @@ class Hmm:
         """Expected starts, moves and emissions (Baum-Welch)."""
         k = len(self.start)
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
-        for _, live, classes in self.batches(seqs):
+        for _, live, classes in self.batches([s for s in seqs if len(s) <= _BATCH_TOKENS]):
             alpha, scale = self.forward(live, classes)
             e = self.emit[classes] / scale[:, None]
             beta = np.ones((live[0], k))
@@ -148,8 +153,45 @@ class Hmm:
                 alpha[a:z] = gamma_t  # the moves out of this step are done, and the step before reads its own rows
             for s in range(k):
                 emits[:, s] += np.bincount(classes, alpha[:, s], len(emits))
+        for s in seqs:
+            if len(s) > _BATCH_TOKENS:
+                for total, part in zip((starts, moves, emits), self._expected_long(s.astype(np.int64))):
+                    total += part
         return starts, moves * self.move, emits
 
+    def _block(self, classes: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward values and scales of a part of a sequence that follows the values ``before``."""
+        alpha, scale = self.emit[classes], np.empty(len(classes))
+        for t in range(len(classes)):
+            alpha[t] *= self.start if before is None else before @ self.move
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+            before = alpha[t]
+        return alpha, scale
+
+    def _expected_long(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for one sequence of any length, in blocks: forward values are kept at block
+        ends only and computed again, block by block, as the backward values come down."""
+        k, held = len(self.start), [None]
+        for at in range(0, len(seq), _BATCH_TOKENS):
+            held.append(self._block(seq[at : at + _BATCH_TOKENS], held[-1])[0][-1].copy())
+        moves, emits, after = np.zeros((k, k)), np.zeros_like(self.emit), None
+        for block in range(len(held) - 2, -1, -1):
+            classes = seq[block * _BATCH_TOKENS : (block + 1) * _BATCH_TOKENS]
+            alpha, scale = self._block(classes, held[block])
+            e = self.emit[classes] / scale[:, None]
+            for t in range(len(classes) - 1, -1, -1):
+                if after is None:
+                    beta = np.ones(k)
+                else:
+                    moves += np.outer(alpha[t], after)
+                    beta = self.move @ after
+                after = e[t] * beta
+                alpha[t] *= beta
+            for s in range(k):
+                emits[:, s] += np.bincount(classes, alpha[:, s], len(emits))
+        return alpha[0], moves, emits
+
     def updated(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> Hmm:
         """Maximisation, smoothed by the classes' overall shares."""
         emits = emits + 2.0 * prior[:, None]
@@ -170,50 +212,69 @@ class Hmm:
         return out
 
 
-def initial(prior: np.ndarray, seqs: list[np.ndarray], states: int, rounds: int = 12, seed: int = 3) -> Hmm:
-    """Start values: sticky states, each near a seed text, then Baum-Welch on few texts."""
-    rng = np.random.default_rng(seed)
-    emit = np.repeat(prior[:, None], states, 1) * rng.uniform(0.9, 1.1, (len(prior), states))
-    long = [s for s in seqs if len(s) > 50]
-    chosen: list[np.ndarray] = []
-    for s in range(min(states, len(long))):
-        def far(x: np.ndarray) -> float:  # a text unlike those chosen so far
-            own = np.bincount(x, minlength=len(prior)) / len(x)
-            return min((1 - np.minimum(own, c).sum() for c in chosen), default=1.0)
-
-        pick = max(long[:200], key=far) if chosen else long[0]
-        own = np.bincount(pick, minlength=len(prior)) / len(pick)
-        chosen.append(own)
-        emit[:, s] = 0.7 * prior + 0.3 * own
+def _summed(seqs: DataFrame, k: int, rows: int, counted) -> np.ndarray:
+    """Sum over all sequences of ``counted(sequences)``, a table of rows by k columns; at most so many rows reach the driver."""
+    names = [f"s{i}" for i in range(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.zeros((rows, k))
+        for b in batches:
+            full += counted([np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()])
+        key = np.flatnonzero(full.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(c) for c in full[key].T)], ["key", *names])
+
+    summed = seqs.mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
+    out = np.zeros((rows, k))
+    for row in summed.orderBy("key").collect():
+        out[row[0]] = row[1:]
+    return out
+
+
+def initial(seqs: DataFrame, prior: np.ndarray, states: int, seed: int = 3) -> Hmm:
+    """Start values: sticky states, each with the class shares of the texts dealt to it."""
+    spark, rng = seqs.sparkSession, np.random.default_rng(seed)
+    bits = max(1, (states - 1).bit_length())
+    project = rng.choice([-1.0, 1.0], (len(prior), bits)) / np.sqrt(prior)[:, None] * (prior > 1e-4)[:, None]
+    fixed = spark.sparkContext.broadcast((project, prior @ project))
+
+    def by_sign(found: list[np.ndarray]) -> np.ndarray:
+        out, (project, middle) = np.zeros((CLASSES, states)), fixed.value
+        for s in found:
+            side = (project[s].sum(0) / len(s) > middle) @ (1 << np.arange(bits)) % states
+            out[:, side] += np.bincount(s, minlength=CLASSES)
+        return out
+
+    counts = _summed(seqs, states, CLASSES, by_sign)
+    for _ in range(DEALS):
+        shares = counts + prior[:, None] * (0.1 * counts.sum(0) + 1)
+        logs = spark.sparkContext.broadcast(np.log(shares / shares.sum(0)))
+
+        def by_likelihood(found: list[np.ndarray], logs=logs) -> np.ndarray:
+            out = np.zeros((CLASSES, states))
+            for s in found:
+                out[:, logs.value[s].sum(0).argmax()] += np.bincount(s, minlength=CLASSES)
+            return out
+
+        counts = _summed(seqs, states, CLASSES, by_likelihood)
+        logs.unpersist()
+    fixed.unpersist()
+    emit = counts + prior[:, None] * (0.2 * counts.sum(0) + 1)
     model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)), emit / emit.sum(0))
     np.fill_diagonal(model.move, 0.9 if states > 1 else 1.0)
-    for _ in range(rounds if seqs else 0):
-        model = model.updated(*model.expected(seqs), prior)
     return model
 
 
 def _train(seqs: DataFrame, model: Hmm, prior: np.ndarray, rounds: int) -> Hmm:
     """Baum-Welch over all sequences: expected counts summed by class across tasks."""
     spark, k = seqs.sparkSession, len(model.start)
-    names = [f"s{i}" for i in range(k)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
-            for b in batches:
-                whole = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
-                # the counts of a very long text are gathered part by part, which bounds memory
-                got = shared.value.expected([x[at : at + _BATCH_TOKENS] for x in whole for at in range(0, len(x), _BATCH_TOKENS)])
-                starts, moves, emits = starts + got[0], moves + got[1], emits + got[2]
-            full = np.vstack([emits, moves, starts])
-            key = np.flatnonzero(full.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(c) for c in full[key].T)], ["key", *names])
-
-        summed = seqs.mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
-        full = np.zeros((CLASSES + k + 1, k))
-        for row in summed.orderBy("key").collect():  # at most CLASSES + K + 1 rows
-            full[row[0]] = row[1:]
+        def expected(found: list[np.ndarray], shared=shared) -> np.ndarray:
+            starts, moves, emits = shared.value.expected(found)
+            return np.vstack([emits, moves, starts])
+
+        full = _summed(seqs, k, CLASSES + k + 1, expected)
         shared.unpersist()
         if not full.any():
             break
@@ -224,8 +285,10 @@ def _train(seqs: DataFrame, model: Hmm, prior: np.ndarray, rounds: int) -> Hmm:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 8, rounds: int = 4) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Learns from rows that are not held out. A null text is empty, that is its end
-    alone; with nothing to learn from all tokens are unknown.
+    Learns from rows that are not held out; texts of any length are learned from and scored
+    whole. A null text is empty, that is its end alone; with nothing to learn from all tokens are unknown.
+    Repeated rows are learned from and scored each; words of equal count are ordered by their bytes;
+    other columns are ignored, whatever their names; no rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -275,8 +338,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     texts = staged(rows.mapInArrow(coded, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, n_hot long, hot_log double, seq binary, rare array<binary>"), "coded")
 
     learn = texts.where(~F.col("held_out")).select("seq")
-    few = [np.frombuffer(r[0], "<u2") for r in texts.where(~F.col("held_out") & (F.length("seq") < 4000)).orderBy(F.xxhash64("uid")).select("seq").limit(SEED_DOCS).collect()]
-    model = _train(learn, initial(prior, few, states), prior, rounds)
+    model = _train(learn, initial(learn, prior, states), prior, rounds)
     shared = spark.sparkContext.broadcast((model, below))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
