@@ -1,12 +1,14 @@
 """Exact top-k inner products, filtered by multi-resolution segment statistics.
 
-Vectors become integers. Each is summarised at three resolutions by the
+Vectors become integers. Each is summarised at several resolutions by the
 mean and deviation of equal segments. With d(q, x)^2 >= sum of
 n * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2) over segments, the inner product
 (|q|^2 + |x|^2 - d^2) / 2 is bounded from above; the bounds are taken coarse to
 fine and exact scores only for those that may still reach the k-th best.
 
-Rows are packed into blocks of vectors. Each query block meets each candidate
+Rows are packed into blocks of vectors. A query starts with the k-th best score of the
+block that it stands in, which is found as query blocks are packed and goes with them, so every
+other block is filtered from its first bound on. Each query block meets each candidate
 block once, in its own row of a join on a group number, and gives at most k rows
 a query, so no task holds more than one pair of blocks.
 """
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from seamlode.llm.common import partitions, staged
 
 CANDIDATES, QUERIES = 4096, 512
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 _EXACT = 2.0**52
-_BLOCK = "block long, n int, dim int, ids binary, vectors binary, at binary"
+_BLOCK = "block long, n int, dim int, ids binary, vectors binary, at binary, least binary"
 
 
 def quantised(vector: list | None, scale: float) -> list[int] | None:
@@ -39,22 +41,39 @@ def quantised(vector: list | None, scale: float) -> list[int] | None:
     return v if np.isfinite(v).all() else None
 
 
-def _pack(block: int, rows: list[tuple[int, np.ndarray, int]]) -> tuple:
-    dim = max((len(v) for _, v, _ in rows), default=0)
+def _pack(block: int, rows: list[tuple[int, np.ndarray, int, float]]) -> tuple:
+    dim = max((len(r[1]) for r in rows), default=0)
     m = np.zeros((len(rows), dim))
-    for i, (_, v, _) in enumerate(rows):
-        m[i, : len(v)] = v
-    ids = np.array([0 if r[0] is None else r[0] for r in rows], "<i8")
-    return block, len(rows), dim, ids.tobytes(), m.tobytes(), np.array([r[2] for r in rows], "<i8").tobytes()
+    for i, r in enumerate(rows):
+        m[i, : len(r[1])] = r[1]
+    ids, at, least = (np.array([r[k] for r in rows], kind) for k, kind in ((0, "<i8"), (2, "<i8"), (3, float)))
+    return block, len(rows), dim, ids.tobytes(), m.tobytes(), at.tobytes(), least.tobytes()
 
 
 def _batch(blocks: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    cols = list(zip(*blocks)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["block", "n", "dim", "ids", "vectors", "at"])
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    cols = list(zip(*blocks)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["block", "n", "dim", "ids", "vectors", "at", "least"])
 
 
-def _blocks(rows: DataFrame, size: int, scale: float | None, every: int | None = None) -> DataFrame:
+def _big(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether products of these may be inexact as doubles."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] >= _EXACT
+
+
+def _asked(block: int, n: int, dim: int, ids: bytes, vectors: bytes, every: int, k: int) -> list[tuple]:
+    """(id, vector, place, k-th best score in this block) of the queries of a block."""
+    m, ids = np.frombuffer(vectors, float).reshape(n, dim), np.frombuffer(ids, "<i8")
+    rows = np.flatnonzero(ids % every == 0)
+    least = np.full(len(rows), -np.inf)
+    if n > k and len(rows) and not _big(m[rows], m):
+        scores = m[rows] @ m.T
+        scores[np.arange(len(rows)), rows] = -np.inf
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+    return [(int(ids[i]), m[i], block << 13 | int(i), float(s)) for i, s in zip(rows, least)]
+
+
+def _blocks(rows: DataFrame, size: int, scale: float | None, every: int | None = None, k: int = 0) -> DataFrame:
     """Pack rows (id, vector), or with ``every`` the rows of a packed table whose id it divides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,15 +83,10 @@ def _blocks(rows: DataFrame, size: int, scale: float | None, every: int | None =
         for b in batches:
             if every is None:
                 pairs = ((i, quantised(v, scale)) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-                found = [(i, v, 0) for i, v in pairs if v is not None and i is not None]
+                held += [(i, v, 0, 0.0) for i, v in pairs if v is not None and i is not None]
             else:
-                found = []
-                for block, n, dim, ids, vectors, _ in zip(*(c.to_pylist() for c in b.columns)):
-                    m = np.frombuffer(vectors, float).reshape(n, dim)
-                    for i, x in enumerate(np.frombuffer(ids, "<i8").tolist()):
-                        if x % every == 0:
-                            found.append((x, m[i], block << 13 | i))
-            held += found
+                for row in zip(*(c.to_pylist() for c in b.columns[:5])):
+                    held += _asked(*row, every, k)
             full = []
             while len(held) >= size:
                 full.append(_pack(part + seq, held[:size]))
@@ -101,36 +115,35 @@ def _scores(x: np.ndarray, q: np.ndarray, big: bool) -> list[int] | np.ndarray:
     return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
 
 
-def best_in_block(q: np.ndarray, q_at: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_at: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query row: (row, ids, scores) of its k best candidates of the block."""
-    width = max(q.shape[1], x.shape[1])
-    q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-    if not width:
-        q, x = np.zeros((len(q), 1)), np.zeros((len(x), 1))
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] >= _EXACT
-    with np.errstate(over="ignore", invalid="ignore"):
-        qq, xx = (q * q).sum(1), (x * x).sum(1)
-        levels = [(_stats(q, p), _stats(x, p)) for p in LEVELS if p <= q.shape[1]]
-        slack = 1e-9 * (qq[:, None] + xx[None, :]) + 1e-6
-        # coarse bound of every pair, and the exact scores of the likeliest few as a first threshold
-        first = None
-        for (mq, sq), (mx, sx) in levels[:1]:
-            first = mq @ mx.T + sq @ sx.T + slack
+def _padded(m: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
+def best_in_block(q: np.ndarray, q_at: np.ndarray, least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_at: np.ndarray, k: int, tally: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query row: (row, ids, scores) of its k best candidates of the block that score ``least`` at least.
+
+    tally gets the number of pairs that are left before each level, and of those scored exactly.
+    """
+    width = max(q.shape[1], x.shape[1], 1)
+    q, x = _padded(q, width), _padded(x, width)
+    big = _big(q, x)
+    live = np.ones((len(q), len(x)), bool)
     own = {int(a): j for j, a in enumerate(x_at)}
+    for i, a in enumerate(q_at.tolist()):
+        if a in own:
+            live[i, own[a]] = False
+    tally = [] if tally is None else tally
+    tally.append(int(live.sum()))
+    with np.errstate(over="ignore", invalid="ignore"):
+        slack = 1e-9 * ((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]) + 1e-6
+        for parts in () if big else LEVELS:
+            if parts > width or not live.any():
+                break
+            (mq, sq), (mx, sx) = _stats(q, parts), _stats(x, parts)
+            live &= ~(mq @ mx.T + sq @ sx.T + slack < least[:, None])  # an undefined bound keeps its pair
+            tally.append(int(live.sum()))
     for i in range(len(q)):
-        live = np.ones(len(x), bool)
-        j = own.get(int(q_at[i]))
-        if j is not None:
-            live[j] = False
-        idx = np.flatnonzero(live)
-        if not big and len(idx) > 4 * k and np.isfinite(first[i]).all():
-            bound = first[i][idx]
-            for step, ((mq, sq), (mx, sx)) in enumerate(levels):
-                if step:
-                    bound = mx[idx] @ mq[i] + sx[idx] @ sq[i] + slack[i][idx]
-                seed = idx[np.argpartition(-bound, k - 1)[: 2 * k]]
-                least = np.partition(_scores(x[seed], q[i], big), len(seed) - k)[len(seed) - k]
-                idx = idx[bound >= least]
+        idx = np.flatnonzero(live[i])
         s = _scores(x[idx], q[i], big)
         order = np.lexsort((x_ids[idx], -s))[:k] if not (s == -(2**63)).any() else np.array(sorted(range(len(s)), key=lambda t: (-int(s[t]), int(x_ids[idx[t]])))[:k], int)
         yield i, x_ids[idx[order]], s[order]
@@ -142,25 +155,26 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     Queries are the rows whose id ``every`` divides, candidates every row but the
     query's own; ties go to the smaller id. Rows of null id or vector, or of a null or
     non-finite component (also once scaled), take no part; shorter vectors count as
-    padded with zeros; scores beyond 64 bits saturate. Repeated rows of one
-    id are queries and candidates each.
+    padded with zeros, so empty ones score 0; scores beyond 64 bits saturate. Repeated rows of one
+    id are queries and candidates each. Other columns are ignored, whatever their names; no rows
+    give no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     blocks = staged(_blocks(rows, CANDIDATES, scale), "vector-blocks")
-    asked = _blocks(blocks, QUERIES, None, every)
+    asked = _blocks(blocks, QUERIES, None, every, k)
     groups = partitions(spark)
     left = blocks.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"), *(F.col(c).alias(f"x_{c}") for c in ("block", "n", "dim", "ids", "vectors")))
-    right = staged(asked, "query-blocks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "vectors", "at")), F.col("block").alias("q_block"))
-    pairs = left.join(right, "g").drop("g").select("x_block", "x_n", "x_dim", "x_ids", "x_vectors", "q_block", "q_n", "q_dim", "q_ids", "q_vectors", "q_at")
+    right = staged(asked, "query-blocks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "vectors", "at", "least")))
+    pairs = left.join(right, "g").drop("g").select("x_block", "x_n", "x_dim", "x_ids", "x_vectors", "q_n", "q_dim", "q_ids", "q_vectors", "q_at", "q_least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                xb, xn, xd, xi, xv, qb, qn, qd, qi, qv, qa = (c[r].as_py() for c in b.columns)
+                xb, xn, xd, xi, xv, qn, qd, qi, qv, qa, ql = (c[r].as_py() for c in b.columns)
                 x, q = np.frombuffer(xv, float).reshape(xn, xd), np.frombuffer(qv, float).reshape(qn, qd)
                 x_ids, q_ids, q_at = np.frombuffer(xi, "<i8"), np.frombuffer(qi, "<i8"), np.frombuffer(qa, "<i8")
-                found = list(best_in_block(q, q_at, x, x_ids, (xb << 13) + np.arange(xn), k))
+                found = list(best_in_block(q, q_at, np.frombuffer(ql, float), x, x_ids, (xb << 13) + np.arange(xn), k))
                 count = [len(s) for _, _, s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(q_at, count)), pa.array(np.repeat(q_ids, count)), pa.array(np.concatenate([np.empty(0, np.int64), *(i for _, i, _ in found)])), pa.array(np.concatenate([np.empty(0, np.int64), *(s for _, _, s in found)]))],
