@@ -12,7 +12,7 @@ Shard: data blocks, then block index, Bloom filter and footer.
 * Index (sparse): per block its last key, offset and size; Bloom filter: 10
   bits a key, 7 probes; footer: offsets, entry and id counts, crc32, magic.
 
-Writers are tasks of a range partitioning by id. A shard has a name of its
+Writers are tasks of a range partitioning by id and, within one id, by a hash of the text. A shard has a name of its
 own for each attempt and counts only if the manifest row of its task is committed,
 so a lost or repeated task leaves no half-written shard in the result.
 """
@@ -29,12 +29,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamlode.llm import tokens
-from seamlode.llm.common import partitions, shared_path, staged
+from seamlode.llm.common import open_store, partitions, shared_path, staged
 
 MAGIC = b"SMLSST01"
 RESTART = 16
@@ -151,7 +150,7 @@ class ShardReader:
             raise ValueError("not a shard")
         source.seek(index_at)
         raw = source.read(end - index_at)
-        self.bloom = raw[bloom_at - index_at :]
+        self.tail, self.bloom = raw, raw[bloom_at - index_at :]
         self.last_keys, self.blocks, at = [], [], 0
         while at < bloom_at - index_at:
             n, at = _read_varint(raw, at)
@@ -180,9 +179,23 @@ class ShardReader:
             at += size
 
     def scan(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        for k in range(len(self.blocks)):
+        """All rows in key order; a shard whose bytes do not have the footer's checksum is an error."""
+        crc = 0
+        for k, (at, size) in enumerate(self.blocks):
+            self.source.seek(at)
+            crc = zlib.crc32(self.source.read(size), crc)
             for key, value in self._walk(self._load(k)[0], 0):
                 yield id_of(key), unpack_ids(value)
+        if zlib.crc32(self.tail, crc) != self.crc:
+            raise ValueError("the shard is damaged")
+
+    @staticmethod
+    def _key_at(body: bytes, at: int) -> bytes:
+        """The key of a restart, which shares nothing."""
+        _, at = _read_varint(body, at)
+        size, at = _read_varint(body, at)
+        _, at = _read_varint(body, at)
+        return body[at : at + size]
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every row of this key, in file order; none if absent."""
@@ -192,8 +205,8 @@ class ShardReader:
         found = []
         for k in range(bisect_left(self.last_keys, key), len(self.blocks)):
             body, restarts = self._load(k)
-            first = [next(self._walk(body, r))[0] for r in restarts]
-            for held, value in self._walk(body, restarts[max(0, bisect_left(first, key) - 1)]):
+            first = bisect_left(restarts, key, key=lambda r: self._key_at(body, r))
+            for held, value in self._walk(body, restarts[max(0, first - 1)]):
                 if held > key:
                     return found
                 if held == key:
@@ -201,24 +214,23 @@ class ShardReader:
         return found
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text and write the shards in ascending id order; returns the manifest.
 
     Manifest: part, seq (shards in key order), path, n_docs, n_ids. Null texts are
-    empty, null ids come first, rows of one id stay together in any number.
+    empty, null ids come first; rows of one id are ordered by a hash of their text and may be in several
+    shards; texts of any length are encoded whole; equal rows each have an entry. Other columns
+    are ignored, whatever their names; no rows give no shards.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, root = _open(folder)
+        store, root = open_store(folder)
         part, seq, w, made = TaskContext.get().partitionId(), 0, None, []
 
         def close() -> None:
@@ -256,7 +268,7 @@ def scan_shards(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                store, place = _open(path)
+                store, place = open_store(path)
                 with store.open_input_file(place) as source:
                     docs, starts, ids, held = [], [], [], 0
                     for doc, got in ShardReader(source).scan():
