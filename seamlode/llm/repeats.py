@@ -39,6 +39,12 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def second_marks(raw: bytes, width: int = 200, gram: int = 32) -> np.ndarray:
+    """For each window of ``raw`` the least of another hash of its grams."""
+    h = gram_hashes(np.frombuffer(raw, np.uint8), gram)
+    return sliding_min((h ^ (h >> np.uint64(31))) * _MUL[2], width - gram + 1)
+
+
 def regions(raw: bytes, width: int = 200, gram: int = 32) -> list[tuple[int, int, int, int, bool]]:
     """(mark, hash, first start, starts, has the mark more than once) of each region."""
     out = []

@@ -7,31 +7,28 @@ length are settled by comparing two sample ranks. No bucket needs more memory
 than its own positions.
 
 Distribution: equal windows have equal marks (``repeats``), so suffixes are
-dealt by mark. A region found more than once is repeated as a whole and needs no
-sorting; of the rest only regions whose mark has another region can repeat, and
-those are sorted. A mark with many regions is dealt further by the hash of the
-window, so its windows spread over many tasks and equal ones still meet.
+dealt by mark. Regions that are equal as a whole are one row before any sorting, as all
+their windows repeat; of the rest only regions whose mark has another region can repeat, and
+those are sorted. The windows of a mark with many regions are dealt further by a second mark,
+under another hash, so they spread over many tasks and equal ones still meet.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 import zstandard
-from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from seamlode.llm.common import partitions, staged
-from seamlode.llm.repeats import regions
+from seamlode.llm.common import numbered, open_store, partitions, staged
+from seamlode.llm.repeats import regions, second_marks
 
 # A perfect difference cover, every residue mod 31 is a difference of two of these.
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
@@ -148,11 +145,10 @@ def _more(schema: StructType, ddl: str) -> StructType:
 
 
 def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """Every row with a number, its text compressed, and its regions."""
-    rows = docs.withColumnRenamed(text_col, "_t") if text_col != "_t" else docs
-    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_t"], F.col("_t").cast("string").alias("_t"))
-    kept = [c for c in rows.columns if c != "_t"]
-    schema = rows.drop("_t").schema
+    """Every row with a number, its text compressed, and its regions; docs has no names of one underscore and letters."""
+    kept = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*kept, F.col(text_col).cast("string"))
+    schema = rows.drop(text_col).schema
     schema = _more(schema, "_uid long, _z binary, _mark array<long>, _hash array<long>, _first array<long>, _starts array<int>, _twice array<boolean>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +170,8 @@ def _marked(docs: DataFrame, text_col: str, width: int) -> DataFrame:
 
 
 def _parts(marked: DataFrame) -> DataFrame:
-    """(part, path) of the staged files: rows of a task of ``_marked`` are in one file, named by it."""
-    made = [(int(re.search(r"/part-(\d+)-[^/]*$", f)[1]), f) for f in marked.inputFiles()]
-    return marked.sparkSession.createDataFrame(made, "part long, path string")
+    """(part, path) of the staged files: rows of a task of ``_marked`` are in one file."""
+    return marked.select(F.shiftright("_uid", 33).alias("part"), F.col("_metadata.file_path").alias("path")).distinct()
 
 
 def _by_part(rows: DataFrame) -> DataFrame:
@@ -186,7 +181,7 @@ def _by_part(rows: DataFrame) -> DataFrame:
 
 def _read(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches of a staged file, from whichever store holds it."""
-    store, place = pafs.FileSystem.from_uri(path)
+    store, place = open_store(path)
     with store.open_input_file(place) as source:
         yield from pq.ParquetFile(source).iter_batches(512, columns=columns)
 
@@ -198,13 +193,13 @@ def _contested(found: DataFrame, width: int) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Region texts; those of a crowded mark dealt out by window."""
+        """Region texts; those of a crowded mark cut where the second mark changes."""
         grow = zstandard.ZstdDecompressor().decompress
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.bool_()]
-        names = ["mark", "part", "uid", "first", "text", "offsets", "once"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        names = ["mark", "part", "uid", "first", "text", "once"]
 
         def batch(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names)
 
         def texts_of(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
             for path, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -221,24 +216,22 @@ def _contested(found: DataFrame, width: int) -> DataFrame:
             for uid, z, want in texts_of(b):
                 raw = grow(z)
                 for w in want:
-                    a, n = w["first"], w["starts"]
-                    text = raw[a : a + n + width - 1]
-                    parts = -(-w["crowd"] // CROWDED)
-                    dealt: dict[int, list[int]] = {}
+                    a, n, parts = w["first"], w["starts"], -(-w["crowd"] // CROWDED)
+                    runs = [(0, n, 0)]
                     if parts > 1:
-                        for k in range(n):
-                            dealt.setdefault(xxhash.xxh3_64_intdigest(text[k : k + width]) % parts, []).append(k)
-                    else:
-                        dealt[0] = []
-                    for part, offsets in dealt.items():
-                        rows.append((w["mark"], part, uid, a, text, offsets, w["once"]))
+                        own = (second_marks(raw[a : a + n + width - 1], width) % np.uint64(parts)).astype(int)
+                        edge = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), n]
+                        runs = [(x, y, int(own[x])) for x, y in zip(edge, edge[1:])]
+                    for x, y, part in runs:
+                        text = raw[a + x : a + y + width - 1]
+                        rows.append((w["mark"], part, uid, a + x, text, w["once"]))
                         held += len(text)
                 if held > _BUFFER:
                     yield batch(rows)
                     rows, held = [], 0
             yield batch(rows)
 
-    texts = found.mapInArrow(cut, "mark long, part int, uid long, first long, text binary, offsets array<int>, once boolean")
+    texts = found.mapInArrow(cut, "mark long, part int, uid long, first long, text binary, once boolean")
     texts = texts.repartition(partitions(found.sparkSession), "mark", "part").sortWithinPartitions("mark", "part", "uid", "first")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,22 +241,21 @@ def _contested(found: DataFrame, width: int) -> DataFrame:
         def close(rows: list[tuple]) -> pa.RecordBatch:
             out: list[tuple] = []
             if rows:
-                raw, place, at, bucket, start, n = [], 0, [], [], [], -1
+                raw, place, at, bucket, n = [], 0, [], [], -1
                 last = None
-                for mark, part, _, _, text, offsets, _ in rows:
+                for mark, part, _, _, text, _ in rows:
                     if (mark, part) != last:
                         last, n = (mark, part), n + 1
-                    k = np.array(offsets, np.int64) if offsets else np.arange(len(text) - width + 1)
-                    start.append(k)
-                    at.append(place + k)
-                    bucket.append(np.full(len(k), n))
+                    starts = len(text) - width + 1
+                    at.append(place + np.arange(starts))
+                    bucket.append(np.full(starts, n))
                     raw.append(text)
                     place += len(text)
                 hit = repeated_starts(b"".join(raw), np.concatenate(at), np.concatenate(bucket), width)
                 done = 0
-                for k, (_, _, uid, first, _, _, once) in zip(start, rows):
-                    own = k[hit[done : done + len(k)]]
-                    done += len(k)
+                for _, _, uid, first, text, once in rows:
+                    own = np.flatnonzero(hit[done : done + len(text) - width + 1])
+                    done += len(text) - width + 1
                     if once and len(own):
                         cuts = np.flatnonzero(np.diff(own) != 1) + 1
                         for run in np.split(own, cuts):
@@ -320,14 +312,9 @@ def _kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, text: bool = False) -> DataFrame:
-    """Each row without the bytes covered by a ``width``-byte string that also starts anywhere else.
-
-    Gives all columns but the text, then n_bytes, n_removed, n_spans and kept_sha256, and with
-    ``text`` the text left, in whose place a character covered in part stays whole.
-    Strings are judged on the input; matches never cross rows; a null text is
-    empty; repeated rows repeat each other. No rows give no rows.
-    """
+def _removed(docs: DataFrame, text_col: str, width: int, text: bool) -> DataFrame:
+    """docs has plain names. All columns but the text, then _bytes, _removed, _spans, _sha256 and with ``text`` the text left as _kept."""
+    spark = docs.sparkSession
     kept = [c for c in docs.columns if c != text_col]
     marked = staged(_marked(docs, text_col, width), "marked")
     pieces = marked.select("_uid", F.explode(F.arrays_zip("_mark", "_hash", "_first", "_starts", "_twice")).alias("r"))
@@ -336,18 +323,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, te
     different = staged(
         pieces.groupBy("mark", "hash").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first")).alias("place"), F.max("starts").alias("starts"), F.max("twice").alias("twice")), "regions"
     )
-    own = Window.partitionBy("mark")
-    crowds = different.select("mark", "n", "place", "starts", "twice", F.count("*").over(own).alias("crowd"))
-    wanted = crowds.where("crowd > 1 or (twice and n = 1)").select("place.uid", "mark", "crowd", "place.first", "starts", (F.col("n") == 1).alias("once"))
-    files = _parts(marked)
+    crowds = different.groupBy("mark").agg(F.count("*").alias("crowd"), F.max(F.col("twice") & (F.col("n") == 1)).alias("own"))
+    crowds = crowds.where("crowd > 1 or own").select("mark", "crowd")
+    wanted = different.join(crowds, "mark").where("crowd > 1 or (twice and n = 1)").select("place.uid", "mark", "crowd", "place.first", "starts", (F.col("n") == 1).alias("once"))
+    files, many = _parts(marked), 4 * partitions(spark)
     contested = _contested(files.join(_by_part(wanted), "part").select("path", "rows"), width)
     often = different.where("n > 1").select("mark", "hash")
     bits = often.groupBy(_cell().alias("cell")).agg(F.bit_or(_bit()).alias("bits"))
     likely = pieces.join(F.broadcast(bits), _cell() == F.col("cell")).where(F.col("bits").bitwiseAND(_bit()) != 0).drop("cell", "bits")
     whole = likely.join(often, ["mark", "hash"], "left_semi").select("uid", "first", "starts")
-    joined = files.join(_by_part(whole.unionByName(contested)), "part", "left").select("path", "rows")
-    schema = docs.drop(text_col).schema
-    schema = _more(schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text)
+    # a row stands for a whole file here, so rows are dealt out evenly rather than by their own few bytes
+    joined = files.join(_by_part(whole.unionByName(contested)), "part", "left").select("part", "path", "rows").repartition(many, "part").drop("part")
+    schema = _more(docs.drop(text_col).schema, "_bytes long, _removed long, _spans long, _sha256 string" + ", _kept string" * text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor().decompress
@@ -370,3 +357,31 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, te
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], names=target.names)
 
     return joined.mapInArrow(run, schema)
+
+
+OUTPUTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, text: bool = False) -> DataFrame:
+    """Each row without the bytes covered by a ``width``-byte string that also starts anywhere else.
+
+    Gives all columns but the text, then n_bytes, n_removed, n_spans and kept_sha256, and with
+    ``text`` the text left, kept_text, in whose place a character covered in part stays whole; an input
+    column of one of these names is left out. Strings are judged on the input; matches never cross
+    rows; texts of any length are taken whole; a null text is empty; repeated rows repeat each
+    other; ids are not used. No rows give no rows.
+    """
+    added = OUTPUTS[: 4 + text]
+    docs = docs.drop(*(c for c in docs.columns if c in added and c != text_col))
+    names, at = docs.columns, docs.columns.index(text_col)
+    left = _removed(numbered(docs), f"c{at}", width, text)
+    return left.toDF(*(c for c in names if c != text_col), *added)
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", width: int = 200) -> DataFrame:
+    """The rows with the text left in the place of the text, and its length in characters in ``chars_col`` if there is one; cases as in ``remove_repeats``; columns may have any names."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    left = _removed(numbered(docs), f"c{at}", width, True)
+    kind = dict(docs.dtypes)
+    found = [F.col("_kept") if c == text_col else F.length("_kept").cast(kind[c]) if c == chars_col else F.col(f"c{k}") for k, c in enumerate(names)]
+    return left.select(*(c.alias(f"c{k}") for k, c in enumerate(found))).toDF(*names)
