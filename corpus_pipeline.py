@@ -1,13 +1,16 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next one's input.
+as Parquet and read again as the next one's input. All but the last keep the columns
+of documents, whatever their names. Null ids, texts and other nulls pass through; null and
+empty texts are scored as empty, are near duplicates of one another, have no
+repeats and are packed as their end id alone; texts of any length are read whole; repeated rows
+are duplicates; no documents give no sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seamlode.llm import packing, rules, simhash, suffix, tokens
 from seamlode.llm.common import staged, table
@@ -16,7 +19,7 @@ from seamlode.llm.common import staged, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores at 0.5 or more."""
     model = rules.train(docs, table(spark, sf_dir, "labels"), fold=1, folds=3)
-    return rules.score(docs, model, docs.columns).where("score >= 0.5").select(*docs.columns)
+    return rules.kept(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 200 bytes that start more than once."""
-    left = suffix.remove_repeats(docs, text=True)
-    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
+    return suffix.without_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express the learned, hashed and tokenised stages; tests hold them against brute force.
+#: SQL can't express the learned, hashed and tokenised stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 

@@ -64,7 +64,12 @@ class BestFit:
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``size`` ids; of a longer document all but the first are full."""
+    """Pieces of at most ``size`` ids; of a longer document all but the first are full.
+
+    A null text is empty, that is its end id alone; texts of any length are cut whole; null ids and
+    repeated rows have pieces like any other; other columns are ignored, whatever their names; no
+    rows give no pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,10 +89,10 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, id_col: str = "do
 
 
 def pack(cut: DataFrame, size: int = 1024, space: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to pieces; repeated rows are packed each.
+    """Adds sequence_id and offset to pieces; repeated rows are packed each, in any order.
 
-    Every document has at least its end id, so no piece is empty; no rows give no
-    sequences.
+    Pieces of null id are packed like any other. Every document has at least its end id, so no
+    piece is empty; of the bins that fit equally well the one last left so is taken; no rows give no sequences.
     """
     cut = staged(cut, "pieces")
     n = max(1, -(-cut.count() // PIECES))

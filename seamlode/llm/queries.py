@@ -42,7 +42,7 @@ def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash class of every document (3-word shingles, 64 bits, radius 2)."""
-    found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, lanes=1, radius=2)
+    found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -66,9 +66,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 @query
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document, placed at <source>/<lang>/<thousands of its id>/<id>.txt."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """Licence of every document.
+
+    Documents have no paths, so they are placed at <source>/<lang>/<thousands>/<hundreds>/<id>.txt;
+    ids that 100 divides are the LICENSE.txt of that directory, those that 1000 divides of the one above.
+    """
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    folder = [F.col("source"), F.col("lang"), F.floor(i / 1000).cast("string")]
+    hundreds, named = F.floor(i / 100).cast("string"), F.lit("LICENSE.txt")
+    path = F.when(i % 1000 == 0, F.concat_ws("/", *folder, named)).when(i % 100 == 0, F.concat_ws("/", *folder, hundreds, named)).otherwise(F.concat_ws("/", *folder, hundreds, F.concat(i.cast("string"), F.lit(".txt"))))
     return licenses.detect(docs.select("doc_id", path.alias("path"), "text")).withColumnRenamed("id", "doc_id")
 
 
@@ -89,9 +95,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
     model = rules.train(docs, table(spark, sf_dir, "labels"), fold=1, folds=3)
-    held = crc_mod(F.col("doc_id"), 3) == 1
-    return rules.score(docs, model, ["doc_id"]).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    held = crc_mod(F.col("id"), 3) == 1
+    return rules.score(docs, model).select(
+        F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 

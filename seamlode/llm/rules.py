@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamlode.llm.common import crc_mod
+from seamlode.llm.common import crc_mod, numbered
 
 SAMPLE = 20_000
 STATS = [
@@ -52,10 +52,11 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """The kept columns and, as column ``stat_<name>``, each statistic of the text."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema
+def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns but the text and, as column ``stat_<name>``, each statistic of the text."""
+    keep = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*keep, F.col(text_col).cast("string"))
+    schema = rows.drop(text_col).schema
     for s in STATS:
         schema = schema.add(f"stat_{s}", "double")
 
@@ -186,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows whose crc32(id) mod ``folds`` is not ``fold``.
 
     Rows of null id, text or label are not learned from; an id labelled more than
-    once counts once, with its least label. At most ``sample`` rows are used, those of
-    the least hash of their id.
+    once counts once, with its least label, and an id of several texts with the least
+    statistics. At most ``sample`` rows are used, those of the least hash of their id, then the least id.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     if fold is not None:
@@ -195,11 +196,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.groupBy("id").agg(F.min("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = with_statistics(texts.join(F.broadcast(marked), "id"), ["id", "y"], "text").groupBy("id").agg(*(F.first(c).alias(c) for c in ["y", *(f"stat_{s}" for s in STATS)]))
+    rows = with_statistics(texts.join(F.broadcast(marked), "id").select("id", "y", "text"), "text")
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(*(f"stat_{s}" for s in STATS))).alias("s")).select("id", "y", "s.*")
     got = rows.orderBy("id").toPandas()
     return fit(got[[f"stat_{s}" for s in STATS]].to_numpy(float), got["y"].to_numpy(int))
 
 
-def score(docs: DataFrame, model: RuleEnsemble, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns and ``score`` of every row; a null text scores as an empty one."""
-    return with_statistics(docs, keep, text_col).select(*keep, model.score().alias("score"))
+def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row; a null text scores as an empty one, a text of any length as a whole.
+
+    Repeated rows and null ids each get a row; other columns are ignored, whatever their names;
+    no rows give no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return with_statistics(rows, "text").select("id", model.score().alias("score"))
+
+
+def kept(docs: DataFrame, model: RuleEnsemble, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that score ``least`` or more, all columns kept; nulls, lengths and repeats as in ``score``; columns may have any names."""
+    at = docs.columns.index(text_col)
+    rows = numbered(docs).withColumn("read", F.col(f"c{at}"))
+    good = with_statistics(rows, "read").where(model.score() >= least)
+    return good.select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
