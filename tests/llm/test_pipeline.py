@@ -76,3 +76,37 @@ def test_run(spark):
             at += length
         assert at <= 1024
     assert {d for b in bins.values() for _, _, d in b} == {r["doc_id"] for r in kept}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = table(spark, DATA, "documents").limit(40)
+    extra = "score", "_uid", "uid", "kept_text", "n_bytes", "_z", "_mark", "stat_punct", "c0", "node", "text2"
+    docs = docs.selectExpr("*", *(f"'{c}' AS {c}" for c in extra), "'dot' AS `a.b`", "CAST(NULL AS INT) AS nothing")
+    docs = docs.unionByName(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars", *extra, "`a.b`", "nothing"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert all(r[c] == c for c in extra) and r["a.b"] == "dot" and r["nothing"] is None, name
+    packed = corpus_pipeline.packing_stage(spark, docs, DATA)
+    assert packed.where("doc_id IS NULL").count() == 1
+
+
+def test_stages_of_no_documents(spark):
+    none = table(spark, DATA, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, DATA).count() == 0
+
+
+def test_quality_stage_is_its_rules(spark):
+    from seamlode.llm import rules
+
+    docs = table(spark, DATA, "documents")
+    model = rules.train(docs, table(spark, DATA, "labels"), fold=1, folds=3)
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, DATA).collect()}
+    for r in docs.collect():
+        x = rules.statistics(r["text"])
+        at = {k: v for k, v in enumerate(x)}
+        total = model.intercept + sum(w for rule, w in model.rules if all((at[j] > t) == above for j, above, t in rule.terms))
+        total += sum(min(max(at[j], low), high) * w for j, low, high, w in model.linear)
+        assert (r["doc_id"] in kept) == (total >= 0)

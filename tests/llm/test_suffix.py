@@ -56,3 +56,24 @@ def test_suffix_blocks_order():
     padded = raw + bytes(700)
     keys = [padded[k : k + 400] for k in at[order]]
     assert keys == sorted(keys)
+
+
+def test_columns_of_any_name(spark):
+    text = "word " * 60 + "é" * 30
+    df = spark.createDataFrame([(1, text + "a", 7, "p", 1.5, None), (2, text + "b", None, "q", None, 3)], "doc_id long, text string, n_bytes int, `a.b` string, _uid double, _mark int")
+    got = suffix.remove_repeats(df, text=True)
+    assert got.columns == ["doc_id", "a.b", "_uid", "_mark", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    assert sorted((r["doc_id"], r["a.b"], r["_uid"]) for r in got.collect()) == [(1, "p", 1.5), (2, "q", None)]
+    left = suffix.without_repeats(df.selectExpr("*", "1L AS n_chars", "'k' AS kept_text"))
+    assert left.columns == [*df.columns, "n_chars", "kept_text"]
+    assert sorted((r["doc_id"], r["text"], r["n_chars"], r["n_bytes"], r["kept_text"]) for r in left.collect()) == [(1, "a", 1, 7, "k"), (2, "b", 1, None, "k")]
+
+
+def test_past_a_chunk(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = " ".join(word() for _ in range(200_000))  # more than a chunk of the marks and a buffer of the sort
+    shared = long[1_048_400:1_048_900]
+    df = spark.createDataFrame([(1, long), (2, "x" * 50 + shared + "y" * 50)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(df).collect()}
+    assert got == {1: (len(long), 500, 1), 2: (600, 500, 1)}
