@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamlode.functions import numeric, text
-from seamlode.operators import evidence, graph, retrieval
+from seamlode.operators import evidence, graph, quality, retrieval, search
 from seamlode.sources.tables import table
+from seamlode.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,13 +96,14 @@ def evidence_summary(spark, d):
 
 _PROFILE = """WITH g AS (SELECT material, kind, scale, basis, count(*) AS n, min(value) AS low, max(value) AS high, list_sort(list(value))[CAST(count(*) // 2 AS BIGINT) + 1] AS median FROM ({R}) WHERE NOT superseded GROUP BY ALL),
   t AS (SELECT *, row_number() OVER (PARTITION BY material ORDER BY n DESC, kind, scale, basis) AS r FROM g)
-  SELECT material, kind, scale, basis, n, low, high, median, CASE WHEN (high - low) / high < 0.15 THEN 'consistent' WHEN (high - low) / high < 0.5 THEN 'dispersed' ELSE 'divergent' END AS spread_class FROM t WHERE r = 1"""
+  SELECT material, kind, scale, basis, n, low, high, median, CASE WHEN n = 1 THEN 'single' WHEN (high - low) / high < 0.15 THEN 'consistent' WHEN (high - low) / high < 0.5 THEN 'dispersed' ELSE 'divergent' END AS spread_class FROM t WHERE r = 1"""
 
 
 @query(_PROFILE.format(R=_RESULTS))
 def evidence_profile(spark, d):
     """Envelope, upper median and dispersion of the largest comparable group of each material."""
-    return evidence.profile(evidence.current(results(spark, d)), "material")
+    found = evidence.profile(evidence.current(results(spark, d)), "material")
+    return found.select("material", "kind", "scale", "basis", "n", "low", "high", "median", "spread_class")
 
 
 @query(f"SELECT material, count(*) AS n, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT (kind, scale, basis)) > 1 THEN 'incomparable' WHEN (max(value) - min(value)) / max(value) > 0.3 THEN 'contradictory' ELSE 'consistent' END AS flag FROM ({_RESULTS}) WHERE NOT superseded GROUP BY material")
@@ -129,18 +131,23 @@ def contradictions_claim(spark, d):
     return evidence.directions_conflict(claims, ["process", "family"])
 
 
-@query(f"SELECT experiment, document, value, CAST(floor(least(1.0, 0.6 * (1.0 - l / 20.0) * CASE WHEN year >= 1998 THEN 1.0 WHEN year >= 1995 THEN 0.95 ELSE 0.9 END + 0.3) * 100 + 0.5) AS BIGINT) AS reliability_pct FROM (SELECT *, kind AS l FROM ({_FACTS}))")
+_TYPES = ["catalog", "handbook", "internal_report", "article", "patent", "memo"]
+
+
+@query(f"""SELECT experiment, document, value, CAST(floor(round(least(1.0, t * c * r + 0.3), 2) * 100 + 0.5) AS BIGINT) AS reliability_pct FROM (SELECT *, CASE document % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 5 THEN 0.6 ELSE 0.7 END::DOUBLE AS t,
+  CASE kind WHEN 0 THEN 0.7 WHEN 1 THEN 0.83 ELSE 0.91 END::DOUBLE AS c, CASE WHEN year + 20 >= 2020 THEN 1.0 WHEN year + 20 >= 2010 THEN 0.95 ELSE 0.9 END::DOUBLE AS r FROM ({_FACTS}))""")
 def reliability(spark, d):
-    """Trust by confidence by recency plus 0.3, at most 1, in per cent."""
-    recency = F.when(F.col("year") >= 1998, 1.0).when(F.col("year") >= 1995, 0.95).otherwise(0.9)
-    score = F.least(F.lit(1.0), F.lit(0.6) * (F.lit(1.0) - F.col("kind") / F.lit(20.0)) * recency + 0.3)
+    """Trust in the type of document by confidence by recency, plus 0.3, at most 1; types and confidences stand for suppliers and kinds, and no confidence for 0.7."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("document") % 6 + 1).cast("int"))
+    confidence = F.when(F.col("kind") == 1, 0.83).when(F.col("kind") == 2, 0.91)
+    score = evidence.reliability(kind, confidence, F.col("year") + 20)
     return facts(spark, d).select("experiment", "document", "value", F.floor(score * 100 + 0.5).cast("long").alias("reliability_pct"))
 
 
-@query(f"SELECT g.size, k.process, g.weight FROM (SELECT size, count(*) AS weight FROM ({_FACTS}) WHERE value > 80000 GROUP BY size) g CROSS JOIN (SELECT DISTINCT process FROM ({_FACTS}) WHERE value > 80000) k WHERE NOT EXISTS (SELECT 1 FROM ({_FACTS}) f WHERE f.value > 80000 AND f.size = g.size AND f.process = k.process)")
+@query(f"SELECT g.material, k.process, g.weight FROM (SELECT material, count(*) AS weight FROM ({_FACTS}) WHERE value > 80000 GROUP BY material) g CROSS JOIN (SELECT DISTINCT process FROM ({_FACTS}) WHERE value > 80000) k WHERE NOT EXISTS (SELECT 1 FROM ({_FACTS}) f WHERE f.value > 80000 AND f.material = g.material AND f.process = k.process)")
 def gaps_empty_cells(spark, d):
-    """Cells of size and process without a result above a value."""
-    return evidence.grid_gaps(facts(spark, d).where("value > 80000").select("size", "process"), "size", "process")
+    """Cells of material and process without a result above a value."""
+    return evidence.grid_gaps(facts(spark, d).where("value > 80000").select("material", "process"), "material", "process")
 
 
 @query(f"SELECT b.family, t.grade, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_brand AS family FROM part) b CROSS JOIN (SELECT DISTINCT p_type AS grade FROM part) t LEFT JOIN (SELECT family, grade, count(*) AS n FROM ({_FACTS}) GROUP BY ALL) f ON f.family = b.family AND f.grade = t.grade")
@@ -220,11 +227,11 @@ def flat_search_page(spark, d):
     return rows.orderBy(F.desc("value"), "experiment", "material", "document").offset(100).limit(50).select("experiment", "material", "document", "value")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') ORDER BY lower(p_name) = 'part_1' DESC, length(p_name), p_partkey LIMIT 1")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bolt') ORDER BY lower(p_name) = 'bolt' DESC, length(p_name), p_name, p_partkey LIMIT 1")
 def alias_resolve(spark, d):
     """A name's entity: the exact alias, else the shortest that contains the text."""
-    name = F.lower("p_name")
-    return table(spark, d, "part").where(name.contains("1")).orderBy((name == "part_1").desc(), F.length("p_name"), "p_partkey").limit(1).select("p_partkey", "p_name")
+    names = table(spark, d, "part").select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("name"))
+    return search.alias_resolve(names, "bolt").select(F.col("name").alias("p_partkey"), F.col("alias").alias("p_name"))
 
 
 @query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'linked_documents', count(DISTINCT l_suppkey) FROM lineitem")
@@ -259,21 +266,21 @@ def neighbourhood_2hop(spark, d):
     return graph.neighbourhood(edges(spark, d), spark.range(1).select(F.lit("r1").alias("node")), 2)
 
 
-@query("SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT concat('o', CAST(o_orderkey AS VARCHAR)) AS node FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def isolated_nodes(spark, d):
-    """Materials that no experiment uses."""
-    nodes = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return graph.isolated(nodes, edges(spark, d))
+    """Experiments that use no material."""
+    nodes = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return graph.isolated(nodes, edges(spark, d).where("predicate = 'uses'"))
 
 
 _STEPS = "SELECT l_orderkey AS o, l_linenumber AS a, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) t"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT concat(CAST(o AS VARCHAR), '-', CAST(a AS VARCHAR)) AS src, concat(CAST(o AS VARCHAR), '-', CAST(b AS VARCHAR)) AS dst FROM ({_STEPS}) WHERE b IS NOT NULL AND o % 10 = 1),
+@query(f"""WITH RECURSIVE s AS (SELECT concat(CAST(o AS VARCHAR), '-', CAST(a AS VARCHAR)) AS src, concat(CAST(o AS VARCHAR), '-', CAST(b AS VARCHAR)) AS dst FROM ({_STEPS}) WHERE b IS NOT NULL),
   l AS (SELECT src AS root, src AS node, 0 AS depth FROM s UNION ALL SELECT l.root, s.dst, l.depth + 1 FROM l JOIN s ON l.node = s.src WHERE l.depth < 11) SELECT root, node, depth FROM l""")
 def lineage(spark, d):
-    """Chains of derived steps, below depth 12; of the orders with l_orderkey % 10 = 1 only, as in the SQL."""
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber").distinct()
+    """Chains of derived steps, below depth 12."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     name = lambda c: F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col(c).cast("string"))
     steps = lines.withColumn("b", F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).where("b is not null").select(name("l_linenumber").alias("src"), name("b").alias("dst"))
     return graph.lineage(steps, steps.select(F.col("src").alias("root")))
@@ -288,7 +295,7 @@ def upsert_new(spark, d):
 
 # -- retrieval --------------------------------------------------------------------------
 
-_TERMS = "[x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> '']"
+_TERMS = r"[x FOR x IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF x <> '']"
 _WORDS = ["license", "mit", "apache", "public"]
 _POSTS = f"SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len({_TERMS}) AS size, unnest({_TERMS}) AS term FROM documents) WHERE term IN ('license', 'mit', 'apache', 'public') GROUP BY ALL"
 
@@ -321,7 +328,7 @@ def dense_knn(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
     one = rows.where("vec_id = 0").select(F.col("v").alias("q"))
     score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    found = rows.where("vec_id <> 0").join(F.broadcast(one.limit(1))).select("vec_id", score.alias("score"))
+    found = rows.where("vec_id <> 0").crossJoin(one).select("vec_id", score.alias("score"))
     return retrieval.top(found, "score", "vec_id", 10)
 
 
@@ -377,13 +384,15 @@ def repeated_lines(spark, d):
     return lines.groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents")).where("n_documents >= 3")
 
 
-@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, [regexp_replace(x, ' +$', '') FOR x IN string_split(text, chr(10))] AS ls FROM documents))) WHERE before IS NULL OR line <> before GROUP BY doc_id")
+@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE before IS NULL OR trim(line, ' ') = '' OR trim(line, ' ') <> trim(before, ' ') GROUP BY doc_id")
 def cleanup_lines(spark, d):
     """Documents without a line that repeats the one before."""
     return table(spark, d, "documents").select("doc_id", F.array_join(text.clean_lines(F.split("text", "\n")), "\n").alias("cleaned"))
 
 
-@query("SELECT term, reason FROM (SELECT term, CASE WHEN trim(term) = '' THEN 'empty' WHEN length(term) = 1 THEN 'single char' WHEN length(term) < 3 THEN 'short' WHEN regexp_matches(term, '^[0-9]+$') THEN 'number' WHEN regexp_matches(term, '[#$%&*]') THEN 'symbols' END AS reason FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark)) WHERE reason IS NOT NULL")
+@query("""SELECT term, reason FROM (SELECT term, CASE WHEN trim(term) = '' THEN 'empty' WHEN regexp_matches(term, '[‘’“”«»]') THEN 'smart_quote_fragment' WHEN regexp_matches(trim(term), '^[A-Z][a-zA-Z]+-[A-Z0-9]{1,3}$') THEN 'brand_code'
+  WHEN length(trim(term)) = 1 THEN 'single_char' WHEN length(trim(term)) <= 2 THEN 'bare_short_token' WHEN lower(trim(term)) IN ('extraction', 'process', 'method', 'material', 'production', 'solution', 'recovery', 'product', 'system', 'unit', 'plant') THEN 'generic_english' END AS reason
+  FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark)) WHERE reason IS NOT NULL""")
 def junk_terms(spark, d):
     """Terms that are no entities, with the reason."""
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).distinct()
@@ -436,13 +445,9 @@ def set_operations(spark, d):
 
 @query("SELECT b.item_id, count(*) AS n_documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def gold_containment(spark, d):
-    """Documents that contain a benchmark passage whole; passages are broadcast in blocks of about 10,000."""
+    """Documents that contain a benchmark passage whole."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs, found = table(spark, d, "documents").select("text"), None
-    for k in range(blocks := max(1, -(-items.count() // 10_000))):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        part = docs.join(F.broadcast(block), F.contains("text", "passage"))
-        found = part if found is None else found.unionByName(part)
+    found = retrieval.containing(table(spark, d, "documents").select("doc_id", "text"), items)
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
@@ -455,21 +460,37 @@ def score_by_category(spark, d):
 # -- values, units, scores, gates ---------------------------------------------------------
 
 
-@query("""SELECT p_partkey, CASE k WHEN 2 THEN s WHEN 4 THEN s END AS low, CASE k WHEN 0 THEN s + 0.5 WHEN 1 THEN s END AS nominal, CASE k WHEN 2 THEN s + 9 WHEN 3 THEN s END AS high, CASE k WHEN 1 THEN CAST(2 AS DOUBLE) END AS deviation
-  FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_partkey % 5 AS k FROM part)""")
+_NUM = r"([-+]?\d+(?:[.,]\d+)?)"
+_WRITTEN = """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN concat('about ', s, ',5') WHEN 1 THEN concat('d = ', s, ' ± 2 mm') WHEN 2 THEN concat(p_size + 9, '–', s) WHEN 3 THEN concat('≤ ', s) WHEN 4 THEN concat('не менее ', s)
+  WHEN 5 THEN concat('from ', s, '…', p_size + 3, ' K') ELSE 'none given' END AS t FROM (SELECT p_partkey, p_size, CAST(p_size AS VARCHAR) AS s FROM part)"""
+
+
+def _found(pattern: str, group: int) -> str:
+    return f"TRY_CAST(replace(nullif(regexp_extract(t, '{pattern}', {group}), ''), ',', '.') AS DOUBLE)"
+
+
+_SPREAD_SQL, _SPAN_SQL, _MOST_SQL, _LEAST_SQL = rf"{_NUM}\s*±\s*{_NUM}", rf"{_NUM}\s*[–\-−…]\s*{_NUM}", rf"[≤<]\s*=?\s*{_NUM}", rf"(?:[≥>]\s*=?|более|не менее|свыше)\s*{_NUM}"
+
+
+@query(f"""SELECT p_partkey, CASE k WHEN 'span' THEN least({_found(_SPAN_SQL, 1)}, {_found(_SPAN_SQL, 2)}) WHEN 'least' THEN {_found(_LEAST_SQL, 1)} END AS low, CASE k WHEN 'spread' THEN {_found(_SPREAD_SQL, 1)} WHEN 'plain' THEN {_found(_NUM, 1)} END AS nominal,
+  CASE k WHEN 'span' THEN greatest({_found(_SPAN_SQL, 1)}, {_found(_SPAN_SQL, 2)}) WHEN 'most' THEN {_found(_MOST_SQL, 1)} END AS high, CASE k WHEN 'spread' THEN {_found(_SPREAD_SQL, 2)} END AS deviation
+  FROM (SELECT *, CASE WHEN regexp_matches(t, '{_SPREAD_SQL}') THEN 'spread' WHEN regexp_matches(t, '{_SPAN_SQL}') THEN 'span' WHEN regexp_matches(t, '{_MOST_SQL}') THEN 'most' WHEN regexp_matches(t, '{_LEAST_SQL}') THEN 'least' ELSE 'plain' END AS k FROM ({_WRITTEN}))""")
 def parsed_values(spark, d):
-    """Values written as numbers with a comma, with a deviation, as reversed ranges and as bounds, parsed."""
-    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
-    written = F.when(k == 0, F.concat(size, F.lit(",5"))).when(k == 1, F.concat(size, F.lit(" ± 2"))).when(k == 2, F.concat((F.col("p_size") + 9).cast("string"), F.lit("–"), size))
-    written = written.when(k == 3, F.concat(F.lit("≤ "), size)).otherwise(F.concat(F.lit("> "), size))
+    """Values as texts write them: numbers with a comma, deviations, reversed ranges, bounds in signs and words, none."""
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    plus = lambda n: (F.col("p_size") + n).cast("string")
+    forms = [(F.lit("about "), s, F.lit(",5")), (F.lit("d = "), s, F.lit(" ± 2 mm")), (plus(9), F.lit("–"), s), (F.lit("≤ "), s), (F.lit("не менее "), s), (F.lit("from "), s, F.lit("…"), plus(3), F.lit(" K"))]
+    written = F.lit("none given")
+    for i, parts in enumerate(forms):
+        written = F.when(k == i, F.concat(*parts)).otherwise(written)
     return table(spark, d, "part").select("p_partkey", numeric.parse_value(written).alias("v")).select("p_partkey", "v.*")
 
 
 @query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_retailprice + 273.15 WHEN 1 THEN p_retailprice * 1000.0 WHEN 2 THEN p_retailprice * 60.0 WHEN 3 THEN p_retailprice * CAST(0.001 AS DOUBLE) ELSE p_retailprice END AS value, CASE p_size % 5 WHEN 0 THEN 'K' WHEN 1 THEN 'MPa' WHEN 2 THEN 's' WHEN 3 THEN 'V' ELSE 'HV' END AS unit FROM part")
 def canonical_units(spark, d):
     """Prices read as measurements in five units, in canonical units; hardness stays as it is."""
-    unit = F.element_at(F.array(*(F.lit(u) for u in [*numeric.UNITS, "HV"])), F.col("p_size") % 5 + 1)
-    return table(spark, d, "part").select("p_partkey", numeric.canonical(F.col("p_retailprice"), unit).alias("v")).select("p_partkey", "v.*")
+    unit = F.element_at(F.array(*(F.lit(u) for u in ["° C", "GPa", " min", "мВ", "HV"])), F.col("p_size") % 5 + 1)
+    return table(spark, d, "part").select("p_partkey", numeric.canonical(F.col("p_retailprice"), unit).alias("v")).select("p_partkey", "v.value", "v.unit")
 
 
 @query("SELECT l_linenumber, count(*) AS n, count(*) FILTER (WHERE abs(l_extendedprice / l_quantity - p_retailprice) <= greatest(0.5, abs(p_retailprice) * 0.02)) AS n_close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY l_linenumber")
@@ -504,5 +525,131 @@ def honesty_gate(spark, d):
     return rows.select("t.term", "t.found", "gated")
 
 
+# -- search, grids, windows, quality ----------------------------------------------------------
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as passages, whole."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("claim").alias("source"), F.col("source").alias("doc_name"), F.lit("finding").alias("kind"), "text", F.left("text", F.lit(300)).alias("snippet"))
+
+
+_ASKED = ["released", "under", "license", "apache", "qqzzvv"]
+_HAS = {t: f"(contains(b, '{t}')" + (f" OR contains(b, '{t[:-2]}')" if len(t) > 5 else "") + ")" for t in _ASKED}
+
+
+@query(f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS doc, text, left(text, 300) AS snippet, lower(text || ' ' || left(text, 300)) AS b FROM documents), f AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {h}) AS d_{t}" for t, h in _HAS.items())} FROM p),
+  s AS (SELECT id, doc, snippet, round(({" + ".join(f"CASE WHEN {h} THEN ln(1 + (n - d_{t} + 0.5) / (d_{t} + 0.5)) ELSE 0.0 END" for t, h in sorted(_HAS.items()))}) * CASE WHEN regexp_matches(b, '[0-9]') THEN 1.6 ELSE 1.0 END, 9) AS rank FROM p, f WHERE {" OR ".join(_HAS.values())}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc, left(snippet, 60) ORDER BY rank DESC, id) AS r FROM s) SELECT id, snippet, doc, CAST(floor(rank * 1e6 + 0.5) AS BIGINT) AS rank_e6 FROM r WHERE r = 1 ORDER BY rank DESC, id LIMIT 10""")
+def search_passages(spark, d):
+    """Passages for a question of which one term is nowhere: gate, weights of terms, one of each document and opening."""
+    found = search.search(passages(spark, d), "Released under Apache license qqzzvv?", 10).passages
+    return found.select("id", "snippet", "doc", F.floor(F.col("rank") * 1e6 + 0.5).cast("long").alias("rank_e6"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT doc_id, sum(CASE WHEN term IN ('license', 'mit', 'apache', 'public') THEN n ELSE 0 END) / (sqrt(sum(n * n)) * 2.0) AS score FROM c GROUP BY doc_id)
+  SELECT doc_id, CAST(floor(score * 1e9 + 0.5) AS BIGINT) AS score_e9 FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25""")
+def sparse_cosine(spark, d):
+    """The 25 documents nearest to a query by counts of terms."""
+    return retrieval.sparse(table(spark, d, "documents"), _WORDS, 25).select("doc_id", F.floor(F.col("score") * 1e9 + 0.5).cast("long").alias("score_e9"))
+
+
+_CLASSED = f"SELECT *, CASE WHEN size < 15 THEN 'low' WHEN size <= 35 THEN 'medium' ELSE 'high' END AS bucket FROM ({_FACTS})"
+
+
+@query(f"SELECT a.family, b.process, c.bucket, coalesce(n, 0) AS n FROM (SELECT DISTINCT family FROM ({_CLASSED}) WHERE value > 60000) a CROSS JOIN (SELECT DISTINCT process FROM ({_CLASSED}) WHERE value > 60000) b CROSS JOIN (SELECT DISTINCT bucket FROM ({_CLASSED}) WHERE value > 60000) c LEFT JOIN (SELECT family, process, bucket, count(*) AS n FROM ({_CLASSED}) WHERE value > 60000 GROUP BY ALL) f ON f.family = a.family AND f.process = b.process AND f.bucket = c.bucket")
+def coverage_cube(spark, d):
+    """Results for every family, process and class of size, 0 where there are none."""
+    bucket = F.when(F.col("size") < 15, "low").when(F.col("size") <= 35, "medium").otherwise("high")
+    return evidence.grid_counts(facts(spark, d).where("value > 60000").select("family", "process", bucket.alias("bucket")), ["family", "process", "bucket"])
+
+
+@query(f"SELECT process, count(*) AS n_docs, string_agg(CAST(document AS VARCHAR), ',' ORDER BY document) FILTER (WHERE r <= 10) AS docs FROM (SELECT *, row_number() OVER (PARTITION BY process ORDER BY document) AS r FROM (SELECT DISTINCT process, document FROM ({_FACTS}))) GROUP BY process")
+def review_groups(spark, d):
+    """Documents of each process, and the first ten."""
+    found = evidence.documents_by(facts(spark, d), "process", "document")
+    return found.select("process", "n_docs", F.array_join(F.transform("docs", lambda x: x.cast("string")), ",").alias("docs"))
+
+
+@query(f"""SELECT src_type, src, dst_type, dst, count(*) AS n FROM (SELECT 'family' AS src_type, family AS src, 'grade' AS dst_type, grade AS dst FROM ({_FACTS}) UNION ALL SELECT 'grade', grade, 'process', process FROM ({_FACTS}) WHERE process <> '5-LOW'
+  UNION ALL SELECT 'process', process, 'country', country FROM ({_FACTS}) WHERE process <> '5-LOW' UNION ALL SELECT 'grade', grade, 'country', country FROM ({_FACTS}) WHERE process = '5-LOW') GROUP BY ALL""")
+def graph_overview(spark, d):
+    """Links between adjacent dimensions of results, across a dimension that a result lacks."""
+    rows = facts(spark, d).withColumn("process", F.when(F.col("process") != "5-LOW", F.col("process")))
+    return graph.overview(rows, ["family", "grade", "process", "country"])[1]
+
+
+@query("SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(4)) AS k) GROUP BY ALL")
+def sliding_counts(spark, d):
+    """Events of each type in hours that begin every quarter of an hour."""
+    rows = windows.sliding_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new, event_id FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+  SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, d):
+    """Events of each user without a pause of half an hour."""
+    rows = windows.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT p_partkey, CASE WHEN t < 673.15 THEN 'low' WHEN t < 1073.15 THEN 'medium' ELSE 'high' END AS regime, CASE WHEN t < 323.15 THEN 'room' ELSE concat('>', CAST(CAST(floor((t - 273.15) / 100) * 100 AS BIGINT) AS VARCHAR), 'C') END AS temperature,
+  CASE p_size % 4 WHEN 0 THEN 'pressure' WHEN 1 THEN 'ratio' WHEN 2 THEN 'time' ELSE 'furlong' END AS dimension FROM (SELECT *, p_size * 30.0 AS t FROM part)""")
+def value_classes(spark, d):
+    """Classes of temperature and regime, and what units measure."""
+    t = F.col("p_size") * 30.0
+    unit = F.element_at(F.array(*map(F.lit, ["GPa", "%", "min", " Furlong"])), F.col("p_size") % 4 + 1)
+    return table(spark, d, "part").select("p_partkey", numeric.regime_class(t).alias("regime"), numeric.temperature_class(t).alias("temperature"), numeric.dimension(unit).alias("dimension"))
+
+
+@query("SELECT doc_id, i, line FROM (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS z FROM (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> '') WHERE a <= 2 OR z <= 2")
+def edge_lines(spark, d):
+    """The first and the last two lines of each document that aren't empty."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
+    return retrieval.ends_per_key(lines, ["doc_id"], "i", 2)
+
+
+@query("""SELECT category, count(*) AS n, count(*) FILTER (WHERE ok) AS ok, CAST(floor(coalesce(round(sum(score * weight) FILTER (WHERE ok) / sum(weight) FILTER (WHERE ok), 3), 0.0) * 1000 + 0.5) AS BIGINT) AS score_e3, CAST(floor(coalesce(round(avg(CASE WHEN score >= 0.6 THEN 1.0 ELSE 0.0 END) FILTER (WHERE ok), 3), 0.0) * 1000 + 0.5) AS BIGINT) AS pass_e3
+  FROM (SELECT event_type AS category, event_id % 10 <> 0 AS ok, (event_id % 7) / 8.0 AS score, CAST(user_id % 3 + 1 AS DOUBLE) AS weight FROM events) GROUP BY category""")
+def score_by_question(spark, d):
+    """Weighted scores and shares of passes by category, of events read as questions."""
+    rows = table(spark, d, "events").select(F.col("event_type").alias("category"), (F.col("event_id") % 10 != 0).alias("ok"), ((F.col("event_id") % 7) / 8.0).alias("score"), (F.col("user_id") % 3 + 1).cast("double").alias("weight"))
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
+    return quality.by_category(rows).select("category", "n", "ok", milli("score").alias("score_e3"), milli("pass_rate").alias("pass_e3"))
+
+
+@query("SELECT event_type, count(*) AS n, min(k) AS low, max(k) AS high FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
+def event_props(spark, d):
+    """Range of a field of the events' JSON."""
+    rows = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, array_to_string([x FOR x IN [CASE WHEN NOT l_quantity < 45 THEN 'quantity' END, CASE WHEN NOT l_discount <= 0.08 THEN 'discount' END] IF x IS NOT NULL], ',') AS broken FROM lineitem WHERE NOT (l_quantity < 45 AND l_discount <= 0.08)")
+def rejects(spark, d):
+    """Rows that break constraints, with the names of those."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
+    bad = evidence.validated(rows, {"quantity": F.col("l_quantity") < 45, "discount": F.col("l_discount") <= 0.08})[1]
+    return bad.drop("l_quantity", "l_discount").withColumn("broken", F.array_join("broken", ","))
+
+
+@query(f"SELECT experiment, kind, year FROM (SELECT *, CASE WHEN document % 3 <> 0 THEN year END AS y FROM ({_FACTS})) WHERE kind IN (1, 2) AND coalesce(y >= 1996, true) AND coalesce(y <= 1997, true)")
+def post_filtered(spark, d):
+    """Results of two kinds that aren't known to be of other years."""
+    rows = facts(spark, d).withColumn("known", F.when(F.col("document") % 3 != 0, F.col("year")))
+    found = search.post_filter(rows.withColumnRenamed("year", "own").withColumnRenamed("known", "year"), [1, 2], 1996, 1997)
+    return found.select("experiment", "kind", F.col("own").alias("year"))
+
+
+@query("SELECT c_custkey FROM customer WHERE list_contains(string_split(lower(c_mktsegment), 'i'), 'ture') OR regexp_matches(lower(c_mktsegment), 'machin') OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 400000)")
+def experts_or_process(spark, d):
+    """Labs whose expertise has a stem, or that ran an experiment of a process."""
+    labs = table(spark, d, "customer")
+    fits = F.exists(F.split(F.lower("c_mktsegment"), "i"), lambda x: x == "ture") | F.lower("c_mktsegment").rlike("machin")
+    ran = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("ran", F.lit(True))
+    return labs.join(ran, "c_custkey", "left").where(fits | F.coalesce("ran", F.lit(False))).select("c_custkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence_profile(spark, sf_dir)

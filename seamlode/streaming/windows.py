@@ -1,4 +1,4 @@
-"""Event-time counters as Structured Streaming plans."""
+"""Event-time counters as Structured Streaming plans; each gives the same on a batch."""
 
 from __future__ import annotations
 
@@ -11,6 +11,20 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
+def sliding_counts(events: DataFrame, width: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events of each user without a pause of ``gap``."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+
+
+def once(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFrame:
+    """The first event of each key within the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+
+
 def run_available(counts: DataFrame, path: str, checkpoint: str) -> None:
     """Write the windows that are complete as Parquet, once for what is there."""
     query = counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
