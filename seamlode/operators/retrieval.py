@@ -47,15 +47,26 @@ def text_cosine(query: list[str], words: Column) -> Column:
     counts = {w: query.count(w) for w in dict.fromkeys(query)}
     if not counts:
         return F.lit(0.0)
-    own = F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)))
-    size = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, n: a + n * n))
-    dot = sum((_count(words, w) * n for w, n in counts.items()), F.lit(0))
-    return F.coalesce(F.try_divide(dot.cast("double"), size * F.lit(sum(n * n for n in counts.values()) ** 0.5)), F.lit(0.0))
+    # one pass over the sorted words: inside a function of another array they would be split anew for each word
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("squares"), F.lit(0).cast("long").alias("dot"))
+
+    def add(a: Column, w: Column) -> Column:
+        n = F.when(a["word"] == w, a["n"] + 1).otherwise(F.lit(1).cast("long"))
+        weight = F.lit(0).cast("long")
+        for word, m in counts.items():
+            weight = F.when(w == word, F.lit(m).cast("long")).otherwise(weight)
+        return F.struct(w.alias("word"), n.alias("n"), (a["squares"] + 2 * n - 1).alias("squares"), (a["dot"] + weight).alias("dot"))
+
+    def cosine(a: Column) -> Column:
+        return F.try_divide(a["dot"].cast("double"), F.sqrt(a["squares"].cast("double")) * F.lit(sum(n * n for n in counts.values()) ** 0.5))
+
+    return F.coalesce(F.aggregate(F.sort_array(words), start, add, cosine), F.lit(0.0))
 
 
 def sparse(docs: DataFrame, query: list[str], k: int) -> DataFrame:
     """The k documents(doc_id, text) of the highest cosine of term counts, over 0."""
-    found = docs.select("doc_id", text_cosine(query, terms(F.col("text"))).alias("score")).where("score > 0")
+    asked = docs.select("doc_id", terms(F.col("text")).alias("t")).where(F.arrays_overlap("t", F.array(*map(F.lit, query)).cast("array<string>")))
+    found = asked.select("doc_id", text_cosine(query, F.col("t")).alias("score")).where("score > 0")
     return top(found, "score", "doc_id", k)
 
 

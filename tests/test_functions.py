@@ -200,3 +200,19 @@ def test_grids_keep_every_column(spark, tmp_path):
             os.symlink(f"{sf}/{f}", tmp_path / f)
     part.selectExpr("*", "1 AS p_size", "'c' AS p_container", "'m' AS p_mfgr", "'n' AS p_name", "1.0D AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
     assert registry.coverage_grid(spark, str(tmp_path)).select("family", "grade").distinct().count() == 3000
+
+
+def test_text_cosine_splits_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from seamlode.functions.text import terms
+    from seamlode.operators import retrieval
+
+    # 3,000 different words: a split of the whole text for each of them takes minutes
+    rows = [(1, "mit mit apache x"), (2, " ".join(f"w{i} w{i}" for i in range(3000)) + " MIT"), (3, ""), (4, None), (5, "x y"), (6, " ".join(f"v{i}" for i in range(20000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: r["s"] for r in df.select("doc_id", retrieval.text_cosine(["mit", "mit", "apache"], terms(F.col("text"))).alias("s")).collect()}
+    assert got[1] == 5 / (6**0.5 * 5**0.5) and got[2] == 2 / ((3000 * 4 + 1) ** 0.5 * 5**0.5) and [got[i] for i in (3, 4, 5, 6)] == [0, 0, 0, 0]
+    assert [r["doc_id"] for r in retrieval.sparse(df, ["mit", "apache"], 5).collect()] == [1, 2]
+    plan = df.select(retrieval.text_cosine(["mit"], terms(F.col("text"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
