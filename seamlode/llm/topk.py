@@ -9,8 +9,10 @@ fine and exact scores only for those that may still reach the k-th best.
 Rows are packed into blocks of vectors. A query starts with the k-th best score of the
 block that it stands in, which is found as query blocks are packed and goes with them, so every
 other block is filtered from its first bound on. Each query block meets each candidate
-block once, in its own row of a join on a group number, and gives at most k rows
-a query, so no task holds more than one pair of blocks.
+block once, in its own row of a join on the cells of a grid, and gives at most k rows
+a query, so no task holds more than one pair of blocks. The join is never a broadcast: query
+blocks are few before they are copied to the grid's rows, but not after. Blocks hold their components
+in the fewest bytes that hold all of them exactly.
 """
 
 from __future__ import annotations
@@ -41,13 +43,24 @@ def quantised(vector: list | None, scale: float) -> list[int] | None:
     return v if np.isfinite(v).all() else None
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """Whole numbers in 2 or 4 bytes each if all fit, else in 8 as doubles."""
+    most = float(np.abs(m).max(initial=0))
+    return m.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8").tobytes()
+
+
+def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    kind = {2: "<i2", 4: "<i4"}.get(len(data) // max(1, n * dim), "<f8")
+    return np.frombuffer(data, kind).reshape(n, dim).astype(float)
+
+
 def _pack(block: int, rows: list[tuple[int, np.ndarray, int, float]]) -> tuple:
     dim = max((len(r[1]) for r in rows), default=0)
     m = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
         m[i, : len(r[1])] = r[1]
     ids, at, least = (np.array([r[k] for r in rows], kind) for k, kind in ((0, "<i8"), (2, "<i8"), (3, float)))
-    return block, len(rows), dim, ids.tobytes(), m.tobytes(), at.tobytes(), least.tobytes()
+    return block, len(rows), dim, ids.tobytes(), _packed(m), at.tobytes(), least.tobytes()
 
 
 def _batch(blocks: list[tuple]) -> pa.RecordBatch:
@@ -63,7 +76,7 @@ def _big(q: np.ndarray, x: np.ndarray) -> bool:
 
 def _asked(block: int, n: int, dim: int, ids: bytes, vectors: bytes, every: int, k: int) -> list[tuple]:
     """(id, vector, place, k-th best score in this block) of the queries of a block."""
-    m, ids = np.frombuffer(vectors, float).reshape(n, dim), np.frombuffer(ids, "<i8")
+    m, ids = _unpacked(vectors, n, dim), np.frombuffer(ids, "<i8")
     rows = np.flatnonzero(ids % every == 0)
     least = np.full(len(rows), -np.inf)
     if n > k and len(rows) and not _big(m[rows], m):
@@ -142,6 +155,10 @@ def best_in_block(q: np.ndarray, q_at: np.ndarray, least: np.ndarray, x: np.ndar
             (mq, sq), (mx, sx) = _stats(q, parts), _stats(x, parts)
             live &= ~(mq @ mx.T + sq @ sx.T + slack < least[:, None])  # an undefined bound keeps its pair
             tally.append(int(live.sum()))
+    rows = np.flatnonzero(live.any(1))
+    if not big and len(rows):
+        # of the pairs left those that score enough; ties stay
+        live[rows] &= q[rows] @ x.T >= least[rows, None]
     for i in range(len(q)):
         idx = np.flatnonzero(live[i])
         s = _scores(x[idx], q[i], big)
@@ -149,6 +166,16 @@ def best_in_block(q: np.ndarray, q_at: np.ndarray, least: np.ndarray, x: np.ndar
         yield i, x_ids[idx[order]], s[order]
 
 
+
+def _grid(cells: int, every: int) -> tuple[int, int]:
+    """Rows (of candidate blocks) and columns (of query blocks) of about so many cells that copy the fewest vectors.
+
+    Candidates, ``every`` times as many as queries, are copied to each column and queries to each row.
+    """
+    high = max(1, min(cells, round((every * cells) ** 0.5)))
+    return high, -(-cells // high)
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products.
 
@@ -163,16 +190,19 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     blocks = staged(_blocks(rows, CANDIDATES, scale), "vector-blocks")
     asked = _blocks(blocks, QUERIES, None, every, k)
-    groups = partitions(spark)
-    left = blocks.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"), *(F.col(c).alias(f"x_{c}") for c in ("block", "n", "dim", "ids", "vectors")))
-    right = staged(asked, "query-blocks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "vectors", "at", "least")))
-    pairs = left.join(right, "g").drop("g").select("x_block", "x_n", "x_dim", "x_ids", "x_vectors", "q_n", "q_dim", "q_ids", "q_vectors", "q_at", "q_least")
+    high, wide = _grid(partitions(spark), every)
+    cell = lambda i, j: (i * F.lit(wide) + j).alias("g")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other")
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).alias("own")
+    left = blocks.select("*", place(high), upto(wide)).select(cell(F.col("own"), F.col("other")), *(F.col(c).alias(f"x_{c}") for c in ("block", "n", "dim", "ids", "vectors")))
+    right = staged(asked, "query-blocks").select("*", place(wide), upto(high)).select(cell(F.col("other"), F.col("own")), *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "vectors", "at", "least")))
+    pairs = left.hint("merge").join(right.hint("merge"), "g").drop("g").select("x_block", "x_n", "x_dim", "x_ids", "x_vectors", "q_n", "q_dim", "q_ids", "q_vectors", "q_at", "q_least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 xb, xn, xd, xi, xv, qn, qd, qi, qv, qa, ql = (c[r].as_py() for c in b.columns)
-                x, q = np.frombuffer(xv, float).reshape(xn, xd), np.frombuffer(qv, float).reshape(qn, qd)
+                x, q = _unpacked(xv, xn, xd), _unpacked(qv, qn, qd)
                 x_ids, q_ids, q_at = np.frombuffer(xi, "<i8"), np.frombuffer(qi, "<i8"), np.frombuffer(qa, "<i8")
                 found = list(best_in_block(q, q_at, np.frombuffer(ql, float), x, x_ids, (xb << 13) + np.arange(xn), k))
                 count = [len(s) for _, _, s in found]

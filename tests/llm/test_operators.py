@@ -203,6 +203,22 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_copies_no_blocks_to_the_driver(spark):
+    df = spark.range(300).selectExpr("id AS vec_id", "array(CAST(id AS DOUBLE), 1.0D) AS embedding")
+    plan = topk.top_k(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    for cells in (1, 4, 211, 600):
+        high, wide = topk._grid(cells, 50)
+        assert high * wide >= cells and high + 50 * wide <= cells + 50  # vectors copied, in queries
+
+
+def test_blocks_keep_their_components():
+    for most in (3, 1 << 15, (1 << 31) - 1, 1 << 31, 2.0**70):
+        m = np.array([[0.0, most, -most], [1.0, -2.0, 5.0]])
+        assert (topk._unpacked(topk._packed(m), 2, 3) == m).all()
+    assert topk._unpacked(topk._packed(np.zeros((2, 0))), 2, 0).shape == (2, 0)
+
+
 def test_bounds_lose_nothing_and_leave_pairs_out():
     rng = np.random.default_rng(5)
     x = np.floor(256 * rng.normal(size=(3000, 64)) / 8)
