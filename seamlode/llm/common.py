@@ -33,15 +33,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, rows: int | None = None, apart: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage.
 
-    rows: a bound on its rows where one is known; a small table then has few files.
+    rows: a bound on its rows where one is known; a small table then has few files. apart: rows cost much to make,
+    so they are made in all tasks and then moved into those files.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        files = max(1, -(-rows // FILE_ROWS))
+        df = df.repartition(files) if apart else df.coalesce(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

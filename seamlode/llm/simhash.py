@@ -21,10 +21,11 @@ is made, and buckets give a spanning forest of links, not all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -232,6 +233,8 @@ RADIUS_128 = 39
 #: A pair whose bits differ with probability ``MISS`` shares a key with probability ``RECALL``.
 MISS, RECALL = 0.17, 0.98
 _SMALL = 32
+#: Shingles that a task of ``_alike`` keeps.
+_HELD = 4 << 20
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
@@ -348,12 +351,16 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
                     i = found[i]
                 return i
 
-            for d in range(1, min(_SMALL, len(key))):
-                i = np.nonzero((key[d:] == key[:-d]) & ~large[d:])[0]
-                if not len(i):
+            first = np.repeat(cuts[:-1], sizes)
+            place_in = np.arange(len(key)) - first
+            for d in range(min(_SMALL, len(key))):
+                # from the least node on, so that the forests of several keys have their links in common
+                j = np.nonzero((place_in > d) & ~large)[0]
+                if not len(j):
                     break
-                i = i[_distance(f[i], f[i + d]) <= radius]
-                for i, j in zip(i.tolist(), (i + d).tolist()):
+                i = first[j] + d
+                near = _distance(f[i], f[j]) <= radius
+                for i, j in zip(i[near].tolist(), j[near].tolist()):
                     if whole:
                         if root[i] != root[j]:
                             out.append((i, j))
@@ -395,19 +402,59 @@ def _columns(held: list[pa.RecordBatch]) -> tuple:
     return t.column("key").to_numpy(), t.column("node").to_numpy(), root.fill_null(-1).to_numpy(), root.null_count == 0, f
 
 
+def _likely(ends: DataFrame) -> Callable[[Column], Column]:
+    """A test of nodes by a bit map of the hashes of ends(node): true for all of those and about one in ten others."""
+    size = 1 << max(10, min(28, (8 * max(1, ends.count())).bit_length()))
+    at = F.pmod(F.xxhash64("node"), F.lit(size))
+    words = ends.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b")).toArrow()
+    held = np.zeros(size >> 6, np.int64)
+    held[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    bits = held.tobytes()
+
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        h = at.to_numpy()
+        return pd.Series((np.frombuffer(bits, np.uint64)[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return lambda node: hit(F.pmod(F.xxhash64(node), F.lit(size)))
+
+
+def _wanted(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The rows of texts(node, text) whose node is in pairs(u, v), of which there are n ends at most; few others are dealt out."""
+    ends = staged(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "simhash-ends", n)
+    return staged(texts.where(_likely(ends)(F.col("node"))).join(ends, "node", "left_semi"), "simhash-texts")
+
+
+def _without(rows: DataFrame, left_out: DataFrame) -> DataFrame:
+    """rows less those whose uid is in left_out(node); only rows that may be are dealt out."""
+    likely = _likely(left_out)
+    maybe = rows.where(likely(F.col("uid"))).join(left_out.withColumnRenamed("node", "uid"), "uid", "left_anti")
+    return rows.where(~likely(F.col("uid"))).unionByName(maybe)
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs(u, v) whose texts(node, text) have a shingle Jaccard of at least ``least``."""
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = staged(texts.join(ends, "node"), "simhash-texts")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("p")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("q")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def shingles(node: int, text: pa.StringScalar) -> np.ndarray:
+            nonlocal held
+            x = known.get(node)
+            if x is None:
+                if held > _HELD:
+                    known.clear()
+                    held = 0
+                x = known[node] = _shingles(text.as_py(), width)
+                held += len(x) + 64
+            return x
+
         for b in batches:
-            keep, last, x = [], None, None
-            for u, p, q in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                if u != last:
-                    last, x = u, _shingles(p.as_py(), width)
-                y = _shingles(q.as_py(), width)
+            keep = []
+            for u, v, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, y = shingles(u, p), shingles(v, q)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(same >= least * (len(x) + len(y) - same))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -444,19 +491,21 @@ def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 5, radius:
     held = staged(numbered(docs).withColumn("uid", F.monotonically_increasing_id()), "numbered")
     texts = held.select(F.col("uid").alias("node"), F.col(f"c{at}").cast("string").alias("text"))
     nodes = staged(_nodes(texts.withColumnRenamed("node", "uid"), width), "simhash-nodes")
-    n = nodes.count()
+    n, rows = nodes.count(), held.count()
     keys = key_bits(n)
     pairs = staged(_candidates(nodes.withColumn("root", F.lit(None).cast("long")), keys, radius), "simhash-pairs", 4 * n)
+    texts = _wanted(texts, pairs, n)
     tried = staged(_likeliest(pairs), "simhash-tried", n)
-    near = staged(_alike(tried, texts, width, least), "simhash-near", n)
+    near = staged(_alike(tried, texts, width, least), "simhash-near", n, apart=True)
     roots = connected_components(near, n)
     others = _between(pairs.join(tried, ["u", "v"], "left_anti"), roots)
-    roots = extended(roots, staged(_alike(others, texts, width, least), "simhash-near", n), n)
+    roots = extended(roots, staged(_alike(others, texts, width, least), "simhash-near", n, apart=True), n)
     maybe = connected_components(pairs, n).withColumnRenamed("root", "group")
     open_ = staged(maybe.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-open", n)
     split = open_.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("group")
     rest = nodes.join(open_.join(split, "group").select("node", "root"), "node")
     more = staged(_candidates(rest, keys, radius).join(pairs, ["u", "v"], "left_anti"), "simhash-more", 4 * n)
-    roots = extended(roots, staged(_alike(more, texts, width, least), "simhash-near", n), n)
-    first = nodes.join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("uid"))
-    return held.join(first, "uid", "left_semi").select(*(f"c{k}" for k in range(len(names)))).toDF(*names)
+    roots = extended(roots, staged(_alike(more, texts, width, least), "simhash-near", n, apart=True), n)
+    first = nodes.select("node").join(roots.where("node <> root").select("node"), "node", "left_anti")
+    left_out = staged(held.select(F.col("uid").alias("node")).join(first, "node", "left_anti"), "simhash-left-out", rows)
+    return _without(held, left_out).select(*(f"c{k}" for k in range(len(names)))).toDF(*names)

@@ -203,6 +203,31 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_components_end_in_one_chunk(spark, monkeypatch):
+    from seamlode.llm import components
+
+    calls = []
+    star = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda e: calls.append(1) or star(e))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (None, 3)], "u long, v long").repartition(4)
+    want = {(i, 0) for i in range(301)} | {(1000, 1000), (1001, 1000)}
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == want and not calls
+    monkeypatch.setattr(components, "FILE_ROWS", 10)
+    monkeypatch.setattr(components, "_CHUNK", 50)
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == want and calls
+
+
+def test_one_of_each_deals_out_few_texts(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(400)] + [(1000 + i, " ".join(f"w{i}x{j}" for j in range(29)) + " end") for i in range(10)], "doc_id long, text string")
+    assert simhash.one_of_each(df).count() == 400
+    texts = df.selectExpr("doc_id AS node", "text")
+    ends = spark.range(20).selectExpr("id AS node")
+    likely = simhash._likely(ends)
+    assert texts.where(likely(F.col("node"))).where("node < 20").count() == 20 and texts.where(likely(F.col("node"))).count() < 150
+    got = simhash._without(df.withColumnRenamed("doc_id", "uid"), ends)
+    assert sorted(r["uid"] for r in got.collect()) == [*range(20, 400), *range(1000, 1010)]
+
+
 def test_top_k_copies_no_blocks_to_the_driver(spark):
     df = spark.range(300).selectExpr("id AS vec_id", "array(CAST(id AS DOUBLE), 1.0D) AS embedding")
     plan = topk.top_k(df)._jdf.queryExecution().executedPlan().toString()
