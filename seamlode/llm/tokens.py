@@ -19,7 +19,7 @@ from array import array
 import numpy as np
 
 END_ID = 2
-_CACHE_WORDS, _CACHE_UNITS = 450_000, 300_000
+_CACHE_WORDS, _CACHE_UNITS = 900_000, 700_000
 _UNIT_CHARS = 64
 _S, _SIGN = r"[^\S\x1c-\x1f]", r"(?:[^\w\s']|[_\x1c-\x1f])"
 _UNIT = re.compile(rf"{_S}*[^\W_]+|{_S}*{_SIGN}*'(?:{_SIGN}|')*[^\W_]*|{_S}*{_SIGN}+|{_S}+")

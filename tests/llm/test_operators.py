@@ -203,6 +203,14 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_word_cache_holds_the_words_of_a_large_shard(monkeypatch):
+    monkeypatch.setattr(tokens, "_encoders", {})
+    path = tokens.public_vocabulary()
+    for at in range(0, 460_000, 20_000):
+        tokens.encode(["a " + " ".join(f"{i}" for i in range(at, at + 20_000))], path)
+    assert len(tokens._encoders[path].words) == 460_000  # a full cache is emptied
+
+
 def test_components_end_in_one_chunk(spark, monkeypatch):
     from seamlode.llm import components
 
