@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamlode.llm import tokens
+
 #: Rows to a file of a staged table whose size is known.
 FILE_ROWS = 200_000
 
@@ -59,6 +65,32 @@ def drop_staged(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Hand freed memory to the system; Arrow's and C's allocators would keep it for as long as the process lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which leaves no freed memory with its Python worker: workers outlive tasks and stages.
+
+    What an earlier stage's encoder keeps of words is dropped first.
+    """
+
+    @functools.wraps(run)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return leaner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

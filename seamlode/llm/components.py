@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamlode.llm.common import FILE_ROWS, drop_staged, staged
+from seamlode.llm.common import FILE_ROWS, drop_staged, lean, staged
 
 #: Edges that are made stars at once.
 _CHUNK = 2 * FILE_ROWS
@@ -54,6 +54,7 @@ def _stars(edges: DataFrame) -> DataFrame:
                 up[max(a, b)] = min(a, b)
         return pa.RecordBatch.from_arrays([pa.array(list(up), t.schema.field(0).type), pa.array(map(root, list(up)), t.schema.field(1).type)], ["u", "v"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamlode.llm import tokens
-from seamlode.llm.common import staged
+from seamlode.llm.common import give_back, lean, staged
 
 PIECES = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,10 +73,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            give_back()  # what earlier stages and batches took
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for at in range(0, len(ids), 256):
                 rows = []
-                for doc, enc in zip(ids[at : at + 256], tokens.encode(texts.slice(at, 256).to_pylist(), vocabulary)):
+                for doc, enc in zip(ids[at : at + 256], tokens.encode(texts.slice(at, 256).to_pylist(), vocabulary, room=tokens.SMALL)):
                     cuts = [0, *range(len(enc) % size or size, len(enc), size), len(enc)]
                     for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
                         rows.append((doc, k, a, z - a, zlib.crc32(enc[a:z].tobytes())))
@@ -100,6 +101,7 @@ def pack(cut: DataFrame, size: int = 1024, space: int = 1024) -> DataFrame:
     mixed = F.xxhash64(F.lit("order"), *names)  # not the hash that deals them
     dealt = cut.select(*names).repartition(n, *names).sortWithinPartitions(mixed, *names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

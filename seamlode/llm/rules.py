@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamlode.llm.common import crc_mod, numbered
+from seamlode.llm.common import crc_mod, lean, numbered
 
 SAMPLE = 20_000
 STATS = [
@@ -60,6 +60,7 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     for s in STATS:
         schema = schema.add(f"stat_{s}", "double")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = np.array([statistics(t.as_py()) for t in b.column(b.num_columns - 1)], float).reshape(-1, len(STATS))

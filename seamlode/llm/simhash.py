@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamlode.llm.common import numbered, partitions, staged
+from seamlode.llm.common import lean, numbered, partitions, staged
 from seamlode.llm.components import connected_components, extended
 
 SEED = 42
@@ -81,6 +81,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> bytes:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp binary) of every row; null text is empty, a text of any length is read whole."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(t.as_py(), width) for t in b.column(1)]
@@ -177,6 +178,7 @@ def links(distinct: DataFrame) -> DataFrame:
         .repartition(partitions(distinct.sparkSession), "k", "key").sortWithinPartitions("k", "key", "fp")
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, []
         out: list[tuple[int, int]] = []
@@ -253,6 +255,7 @@ def key_bits(n: int) -> list[np.ndarray]:
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
     """docs(uid, text) -> (node, f0..f3): the least uid of each set of shingles, and its 256 bits."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks, fps = [], []
@@ -328,6 +331,7 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
     """
     place = 1 << np.arange(len(keys[0]), dtype=np.int64)
 
+    @lean
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.stack([c.to_numpy() for c in b.columns[2:]], 1)
@@ -336,6 +340,7 @@ def _candidates(nodes: DataFrame, keys: list[np.ndarray], radius: int) -> DataFr
                 key = (bits[:, at] @ place) * np.int64(len(keys)) + k
                 yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns[:4]], ["key", "node", "root", *_COMPARED])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(key: np.ndarray, node: np.ndarray, root: np.ndarray, whole: bool, f: np.ndarray) -> pa.RecordBatch:
             out: list[tuple[int, int]] = []
@@ -436,6 +441,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Data
     """The pairs(u, v) whose texts(node, text) have a shingle Jaccard of at least ``least``."""
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("p")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("q")), "v")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         held = 0

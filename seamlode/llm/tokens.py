@@ -20,6 +20,8 @@ import numpy as np
 
 END_ID = 2
 _CACHE_WORDS, _CACHE_UNITS = 900_000, 700_000
+#: The same where a worker has little room besides.
+SMALL = 250_000, 150_000
 _UNIT_CHARS = 64
 _S, _SIGN = r"[^\S\x1c-\x1f]", r"(?:[^\w\s']|[_\x1c-\x1f])"
 _UNIT = re.compile(rf"{_S}*[^\W_]+|{_S}*{_SIGN}*'(?:{_SIGN}|')*[^\W_]*|{_S}*{_SIGN}+|{_S}+")
@@ -66,7 +68,7 @@ class _Words(dict):
             ids = self.encoder.text(" " + w)
             if len(w) > _UNIT_CHARS:
                 return ids
-        if len(self) >= _CACHE_WORDS:
+        if len(self) >= self.encoder.room[0]:
             self.clear()
         self[w] = ids
         return ids
@@ -75,7 +77,8 @@ class _Words(dict):
 class _Encoder:
     """A vocabulary with its caches: of words, and of units (letters alone stand for those after a space)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: tuple[int, int]):
+        self.room = room
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -91,7 +94,7 @@ class _Encoder:
     def text(self, text: str) -> bytes:
         """Ids of any text by its units."""
         out, units = [], self.units
-        if len(units) >= _CACHE_UNITS:
+        if len(units) >= self.room[1]:
             units.clear()
         for u in _UNIT.findall(text):
             key = "\0" + u  # apart from the bare words
@@ -118,12 +121,18 @@ class _Encoder:
 _encoders: dict[str, _Encoder] = {}
 
 
-def encode(texts: list[str | None], path: str, end: int | None = END_ID) -> list[np.ndarray]:
+def encode(texts: list[str | None], path: str, end: int | None = END_ID, room: tuple[int, int] = (_CACHE_WORDS, _CACHE_UNITS)) -> list[np.ndarray]:
     """Ids of each whole text as unsigned 32-bit integers, then the end id; null is empty.
 
     As with the library's own defaults, the text of a special token has the id of that token.
+    room: entries of the caches of words and units; the ids do not depend on it.
     """
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
+    if path not in _encoders or _encoders[path].room != room:
+        _encoders[path] = _Encoder(path, room)
     tail = b"" if end is None else int(end).to_bytes(4, "little")
     return [np.frombuffer(ids + tail, "<u4") for ids in map(_encoders[path].encode, (t or "" for t in texts))]
+
+
+def forget() -> None:
+    """Drop the encoders of this worker with their caches."""
+    _encoders.clear()

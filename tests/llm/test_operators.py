@@ -211,6 +211,19 @@ def test_word_cache_holds_the_words_of_a_large_shard(monkeypatch):
     assert len(tokens._encoders[path].words) == 460_000  # a full cache is emptied
 
 
+def test_packing_leaves_room_to_other_stages(monkeypatch):
+    from seamlode.llm import common
+
+    monkeypatch.setattr(tokens, "_encoders", {})
+    path = tokens.public_vocabulary()
+    text = "a " + " ".join(f"{i}" for i in range(1000))
+    whole = tokens.encode([text], path)[0].tolist()
+    assert tokens.encode([text], path, room=(100, 100))[0].tolist() == whole and len(tokens._encoders[path].words) <= 100
+    assert tokens.SMALL[0] < tokens._CACHE_WORDS and tokens.SMALL[1] < tokens._CACHE_UNITS
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
+    assert not tokens._encoders  # a task of another stage drops what was kept
+
+
 def test_components_end_in_one_chunk(spark, monkeypatch):
     from seamlode.llm import components
 
