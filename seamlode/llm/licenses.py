@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamlode.llm.common import drop_staged, staged
+from seamlode.llm.common import drop_staged, partitions, staged
 
 # Public licence texts and the notices that stand for them, paragraph by paragraph.
 _AS_IS = [
@@ -196,7 +196,9 @@ def detect(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", tex
     squares = 0.35**2 * _squares(F.filter("known", lambda t: t.isin(common))) + _squares(F.filter("known", lambda t: ~t.isin(common)))
     possible = (F.col("n") - F.size("known")) * (least * least) <= (1 - least * least) * squares
     near = staged(units.where(F.size("known") > 0).where(possible).dropDuplicates(["uid", "unit"]), "licence-units")
-    tf = near.select("uid", "unit", "n", F.size("known").alias("k"), F.explode("known").alias("t")).groupBy("uid", "unit", "n", "k", "t").agg(F.count("*").alias("tf")).join(known_idf, "t")
+    # dealt once by unit, as all that is counted of a unit stays with it: neither terms nor products are dealt out
+    dealt = near.repartition(partitions(spark), "uid", "unit")
+    tf = dealt.select("uid", "unit", "n", F.size("known").alias("k"), F.explode("known").alias("t")).groupBy("uid", "unit", "n", "k", "t").agg(F.count("*").alias("tf")).join(known_idf, "t")
     tf = tf.withColumn("x", F.col("tf") * F.col("idf"))
     length = tf.groupBy("uid", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x")) + F.max(F.col("n") - F.col("k")) * F.lit(unseen * unseen)).alias("length"))
     dots = tf.join(weights, "t").groupBy("uid", "unit", "template", "license", "size").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))

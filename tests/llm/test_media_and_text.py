@@ -296,3 +296,24 @@ def test_every_candidate_is_drawn_apart(spark):
     for a in range(4):
         for b in range(a):
             assert abs((drawn[:, a] & drawn[:, b]).mean() - 0.01) < 0.004
+
+
+def test_licenses_deals_out_neither_terms_nor_products(spark, monkeypatch):
+    """What is staged last is planned with one exchange by unit below the counts of its terms."""
+    plans = []
+
+    def seen(df, label, *args, **kwargs):
+        if label == "licence-own":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, label, *args, **kwargs)
+
+    import re
+
+    from seamlode.llm.common import staged
+
+    monkeypatch.setattr(licenses, "staged", seen)
+    df = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b", "x")], "doc_id long, path string, text string")
+    got = {r["id"]: (r["license"], r["origin"]) for r in licenses.detect(df).collect()}
+    assert got == {1: ("MIT", "header"), 2: ("MIT", "inherited")}
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plans[0])
+    assert dealt and not any(re.search(r"\bt#|template#\d+, license#\d+, size", d) and "unit#" in d for d in dealt)
